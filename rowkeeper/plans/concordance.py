@@ -124,7 +124,7 @@ def concordance_counts(df: DataFrame, keys: list[str], order: list[str], value:
 
 def _cold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
-    shared = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = max(buckets, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(shared)))
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
     return bucketed.groupBy("_bucket").applyInPandas(_whole_keys(len(keys), len(order)), schema)
