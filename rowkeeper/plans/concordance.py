@@ -1,169 +1,77 @@
 """Concordant and discordant pair counts without building pairs.
 
 For every row of a key in its order: how many earlier and later rows are smaller or greater. All four
-numbers follow from ranks and from ``below``, the earlier rows that come before the row when the key
-is sorted by (value, order).
+numbers follow from positions and from the earlier rows that sort lower by (value, order).
 
-Keys that fit into a task are handled whole, many in one hash bucket. A hot key is cut twice: into
-slices along its order and into bins along (value, order). An earlier row that sorts lower is either in the same
-bin, or in a lower bin of the same slice, or in a lower bin of an earlier slice; the first two are counted inside
-one bin or slice and the third on the small grid of slice by bin.
+Those are counted digit by digit. Ranks are written with DIGIT as base; two ranks differ first in one digit, so an earlier
+row with a lower rank shares the digits before that place and has a lower digit there. One running count per digit value,
+inside (key, digits before), finds them. A key of n rows takes log(n) rounds; without hot keys all rounds
+use the one shuffle by key.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from rowkeeper.plans.ordered import hot_keys, hot_rows_limit, is_hot, ordered, sliced_column
-
-BUCKET_ROWS = 250_000
-COUNTS = ["earlier_smaller", "earlier_greater", "later_smaller", "later_greater"]
-
-
-def lower_before(rank: np.ndarray) -> np.ndarray:
-    """For each place the number of earlier places with a lower rank.
-
-    Two ranks differ first in one binary digit; each digit is counted for all places at once.
-    """
-    found = np.zeros(len(rank), dtype=np.int64)
-    if len(rank) < 2:
-        return found
-    for digit in range(int(rank.max()).bit_length()):
-        by_prefix = np.argsort(rank >> (digit + 1), kind="stable")
-        prefix, one = rank[by_prefix] >> (digit + 1), (rank[by_prefix] >> digit) & 1
-        zeros = np.cumsum(1 - one)
-        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-        zeros_at_start = zeros[starts] - (1 - one[starts])
-        zeros -= np.repeat(zeros_at_start, np.diff(np.r_[starts, len(prefix)]))
-        found[by_prefix] += np.where(one == 1, zeros, 0)
-    return found
-
-
-def dense(*columns: pd.Series) -> np.ndarray:
-    """Rank of each row when sorted by the columns; equal rows share a rank."""
-    frame = pd.DataFrame({i: c.to_numpy() for i, c in enumerate(columns)})
-    return frame.groupby(list(frame.columns), sort=True, dropna=False).ngroup().to_numpy()
-
-
-def _names(n: int, prefix: str) -> list[str]:
-    return [f"{prefix}{i}" for i in range(n)]
-
-
-def _whole_keys(n_keys: int, n_order: int):
-    """Pair counts of all keys of one bucket."""
-    keys, order = _names(n_keys, "k"), _names(n_order, "o")
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_key=dense(*[rows[k] for k in keys]))
-        rows = rows.sort_values(["_key", *order], kind="stable").reset_index(drop=True)
-        start = rows.groupby("_key").cumcount().to_numpy()  # earlier rows of the key
-        size = rows.groupby("_key")["_key"].transform("size").to_numpy()
-        place = np.arange(len(rows))
-        value = dense(rows["_key"], rows["v"])
-        sort = np.lexsort((place, value))
-        rank = np.empty(len(rows), dtype=np.int64)
-        rank[sort] = place
-        offset = place - start  # rows of the keys before this one, which are all earlier and lower
-        below = lower_before(rank) - offset
-        same = rows.assign(_value=value).groupby("_value")
-        equal_before = same.cumcount().to_numpy()
-        equal = same["_value"].transform("size").to_numpy()
-        smaller = below - equal_before
-        greater = start - below
-        later_smaller = rank - offset - below
-        later_greater = size - equal - smaller - greater - later_smaller
-        rows[COUNTS] = np.column_stack([smaller, greater, later_smaller, later_greater])
-        return rows.drop(columns=["_key", "_bucket"])
 
-    return count
-
-
-def _inside(order: list[str], rank_by: list[str], out: str, drop: list[str]):
-    """Earlier rows with a lower rank inside one bin or slice."""
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        rows[out] = lower_before(dense(*[rows[c] for c in rank_by]))
-        return rows.drop(columns=drop)
-
-    return count
-
-
-def _grid(cells: pd.DataFrame) -> pd.DataFrame:
-    """Rows in strictly earlier slices and strictly lower bins, per cell of one hot key."""
-    at_slice, at_bin = dense(cells["_slice"]), dense(cells["_bin"])
-    table = np.zeros((at_slice.max() + 2, at_bin.max() + 2), dtype=np.int64)
-    table[at_slice + 1, at_bin + 1] = cells["n"]
-    table = table.cumsum(0).cumsum(1)
-    return cells.assign(from_grid=table[at_slice, at_bin]).drop(columns=["n"])
+from rowkeeper.plans.ordered import hot_keys, hot_rows_limit, ordered
+from rowkeeper.session import workspace
+
+DIGIT = 16
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, so that later jobs do not compute it again."""
+    path = workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def earlier_lower(placed: DataFrame, keys: list[str], largest: int, hot: bool, out: str) -> DataFrame:
+    """Per row the rows of its key with a smaller ``_pos`` and a smaller ``_rank``, for keys of up to ``largest`` rows."""
+    limit = hot_rows_limit(placed)
+    rounds = 1
+    while DIGIT**rounds < largest:
+        rounds += 1
+    df = placed.withColumn(out, F.lit(0).cast("bigint"))
+    for left in reversed(range(rounds)):
+        digits = {
+            "_before": F.expr(f"(_rank - 1) div {DIGIT ** (left + 1)}"),
+            "_digit": F.expr(f"((_rank - 1) div {DIGIT ** left}) % {DIGIT}"),
+        }
+        may_be_hot = hot and DIGIT ** (left + 1) > limit
+        scan = ordered(
+            df.withColumns(digits), [*keys, "_before"], ["_pos"], hot=None if may_be_hot else {},
+            probe=placed.withColumns(digits),
+        ).add(sums={f"_seen_{d}": F.when(F.col("_digit") == d, 1).otherwise(0) for d in range(DIGIT - 1)})
+        lower = sum(
+            (F.when(F.col("_digit") > d, F.col(f"_seen_{d}")).otherwise(0) for d in range(DIGIT - 1)), F.col(out)
+        )
+        df = scan.rows().withColumn(out, lower).drop("_before", "_digit", *[f"_seen_{d}" for d in range(DIGIT - 1)])
+    return df
 
 
 def concordance_counts(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """The four counts per row, and ``n_monotone``: increasing or decreasing triples with the row in the middle."""
-    ks, os_ = _names(len(keys), "k"), _names(len(order), "o")
-    rows = df.select(
-        *[F.col(c).alias(n) for c, n in zip(keys, ks)], *[F.col(c).alias(n) for c, n in zip(order, os_)],
-        F.col(value).alias("v"),
-    )
-    limit = hot_rows_limit(df)
-    hot = hot_keys(rows, ks, limit)
-    result = _cold(rows.filter(~is_hot(ks, hot)) if hot else rows, ks, os_)
+    """The four counts per row, and ``n_monotone``: rising or falling triples with the row in the middle."""
+    rows = df.select(*dict.fromkeys([*keys, *order, value]))
+    hot = hot_keys(rows, keys, hot_rows_limit(rows))
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    placed = ordered(rows, keys, order, hot=hot).add(position="_pos", total="_n").rows()
+    placed = ordered(placed, keys, [value, *order], hot=hot, probe=rows).add(position="_rank").rows()
+    same_hot = None if hot else {}
+    placed = ordered(placed, [*keys, value], order, hot=same_hot, probe=rows).add(
+        position="_same_pos", total="_same"
+    ).rows()
     if hot:
-        result = result.unionByName(_hot(rows.filter(is_hot(ks, hot)), ks, os_, hot, limit))
-    named = [F.col(n).alias(c) for c, n in zip([*keys, *order, value], [*ks, *os_, "v"])]
-    triples = (F.col("earlier_smaller") * F.col("later_greater")
-               + F.col("earlier_greater") * F.col("later_smaller"))
-    return result.select(*named, *COUNTS, triples.alias("n_monotone"))
+        placed = written(placed, "placed")
+    counted = earlier_lower(placed, keys, largest, bool(hot), "_below")
 
-
-def _cold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
-    shared = max(buckets, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(shared)))
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS]])
-    return bucketed.groupBy("_bucket").applyInPandas(_whole_keys(len(keys), len(order)), schema)
-
-
-def _hot(rows: DataFrame, keys: list[str], order: list[str], hot: dict, limit: int) -> DataFrame:
-    long = T.LongType()
-    cut = rows.withColumns({
-        "_slice": sliced_column(rows, keys, order, hot, limit),
-        "_bin": sliced_column(rows, keys, ["v", *order], hot, limit),
-    })
-    # Ranks over the whole key: by order, by (value, order), and inside equal values.
-    placed = ordered(cut.withColumnRenamed("_slice", "_order_slice"), keys, order).add(position="_pos", total="_n")
-    placed = ordered(placed.rows(), keys, ["v", *order]).add(position="_rank").rows()
-    placed = ordered(placed, [*keys, "v"], order).add(position="_equal_pos", total="_equal").rows()
-    placed = placed.withColumnRenamed("_order_slice", "_slice")
-
-    in_bin = placed.groupBy(*keys, "_bin").applyInPandas(
-        _inside(order, ["v", *order], "_in_bin", []),
-        T.StructType([*placed.schema.fields, T.StructField("_in_bin", long)]),
-    )
-    in_slice = in_bin.groupBy(*keys, "_slice").applyInPandas(
-        _inside(order, ["_bin"], "_in_slice", []),
-        T.StructType([*in_bin.schema.fields, T.StructField("_in_slice", long)]),
-    )
-    cells = cut.groupBy(*keys, "_slice", "_bin").agg(F.count(F.lit(1)).alias("n"))
-    kept = [f for f in cells.schema.fields if f.name != "n"]
-    grid = cells.groupBy(*keys).applyInPandas(_grid, T.StructType([*kept, T.StructField("from_grid", long)]))
-    grid = grid.select(*[F.col(f.name).alias(f"g_{f.name}") for f in kept], "from_grid")
-    match = None
-    for f in kept:
-        same = F.col(f.name).eqNullSafe(F.col(f"g_{f.name}"))
-        match = same if match is None else match & same
-    counted = in_slice.join(grid, match, "left")
-    below = F.col("_in_bin") + F.col("_in_slice") + F.col("from_grid")
-    smaller = below - (F.col("_equal_pos") - 1)
-    greater = F.col("_pos") - 1 - below
-    later_smaller = F.col("_rank") - 1 - below
-    later_greater = F.col("_n") - F.col("_equal") - smaller - greater - later_smaller
+    smaller = F.col("_below") - (F.col("_same_pos") - 1)
+    greater = F.col("_pos") - 1 - F.col("_below")
+    later_smaller = F.col("_rank") - 1 - F.col("_below")
+    later_greater = F.col("_n") - F.col("_same") - smaller - greater - later_smaller
     return counted.select(
-        *keys, *order, "v", *[e.alias(c) for c, e in zip(COUNTS, [smaller, greater, later_smaller, later_greater])]
+        *rows.columns, smaller.alias("earlier_smaller"), greater.alias("earlier_greater"),
+        later_smaller.alias("later_smaller"), later_greater.alias("later_greater"),
+        (smaller * later_greater + greater * later_smaller).alias("n_monotone"),
     )

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 HOT_ROWS_CONF = "spark.rowkeeper.hotRows"
 HOT_ROWS = 4_000_000  # rows of one key that one task may hold
 SAMPLED_ROWS = 2_000  # rows sampled from a key that is just hot
-# The two bounds give the largest carry table: 256 * 1024 rows.
 MAX_HOT_KEYS = 256
-MAX_SLICES = 1_024
-CUTS_SAMPLE = 32  # sampled rows per slice
+MAX_SLICES = 16_384  # of all hot keys together; also bounds the carry table
+CUTS_SAMPLE = 16  # sampled rows per slice
 SEED = 7
 
 SLICE = "_slice"
@@ -35,6 +35,10 @@ def hot_rows_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
+def key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+
+
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> dict[int, float]:
     """Hash of each of the hottest keys and its estimated rows, from a sample of the key columns.
 
@@ -42,12 +46,11 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> dict[int, float]:
     correctness.
     """
     fraction = min(1.0, SAMPLED_ROWS / limit)
-    key_hash = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
     sampled = df.select(*keys) if keys else df.select(F.lit(1))
     if fraction < 1.0:
         sampled = sampled.sample(fraction, SEED)
     counted = (
-        sampled.groupBy(key_hash.alias("key_hash")).agg(F.count(F.lit(1)).alias("n"))
+        sampled.groupBy(key_hash(keys).alias("key_hash")).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > limit * fraction)
         .orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
     )
@@ -55,48 +58,56 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> dict[int, float]:
 
 
 def is_hot(keys: list[str], hot: dict[int, float]) -> Column:
-    if not keys:
-        return F.lit(bool(hot))
-    return F.xxhash64(*keys).isin(list(hot)) if hot else F.lit(False)
+    return key_hash(keys).isin(list(hot)) if hot else F.lit(False)
+
 
+def cut_points(rows: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], slice_rows: int) -> list[tuple]:
+    """(key hash, values of the order columns as text) that cut each hot key into equally filled slices.
 
-def cut_points(rows: DataFrame, order: list[str], expected: float, limit: int) -> list:
-    """Values of the order columns that cut the rows into equally filled slices."""
-    slices = min(MAX_SLICES, max(2, math.ceil(2 * expected / limit)))
-    fraction = min(1.0, CUTS_SAMPLE * slices / expected)
-    sampled = rows.select(*order)
+    The sample has CUTS_SAMPLE rows per slice, so its size is bounded like the slices.
+    """
+    fraction = min(1.0, CUTS_SAMPLE / slice_rows)
+    sampled = rows.select(key_hash(keys).alias("key_hash"), *order)
     if fraction < 1.0:
         sampled = sampled.sample(fraction, SEED)
-    values = sampled.distinct().orderBy(*order).select(*[F.col(c).cast("string") for c in order]).collect()
-    if not values:
-        return []
-    step = max(1, len(values) // slices)
-    return values[step::step][: MAX_SLICES - 1]
-
-
-def slice_of(df: DataFrame, order: list[str], cuts: list) -> Column:
-    """Number of cut points at or below the row, found by halving."""
-    if not cuts:
-        return F.lit(0)
-    types = {field.name: field.dataType for field in df.select(*order).schema.fields}
-    points = F.array(*[
-        F.struct(*[F.lit(v).cast(types[c]).alias(f"o{i}") for i, (c, v) in enumerate(zip(order, row))])
-        for row in cuts
-    ])
-    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    strides = [2**b for b in reversed(range(len(cuts).bit_length()))]
-    return F.reduce(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda at, stride: F.when(F.get(points, at + stride - 1) <= here, at + stride).otherwise(at),
+    values = sampled.distinct().orderBy("key_hash", *order).select(
+        "key_hash", *[F.col(c).cast("string") for c in order]
+    ).collect()
+    found = []
+    for hashed, group in groupby(values, key=lambda row: row.key_hash):
+        members = list(group)
+        slices = math.ceil(hot[hashed] / slice_rows)
+        step = max(1, len(members) // slices)
+        found.append((hashed, [tuple(row)[1:] for row in members[step::step]]))
+    return found
+
+
+def with_slices(
+    df: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], out: str, probe: DataFrame | None = None
+) -> DataFrame:
+    """Add the slice number of each row: the cut points of its key at or below it, 0 for keys that are not hot."""
+    slice_rows = max(hot_rows_limit(df) // 2, math.ceil(sum(hot.values()) / MAX_SLICES), 1)
+    probe = df if probe is None else probe
+    cuts = cut_points(probe.filter(is_hot(keys, hot)), keys, order, hot, slice_rows)
+    most = max([len(points) for _, points in cuts], default=0)
+    if most == 0:
+        return df.withColumn(out, F.lit(0))
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    names = [f"o{i}" for i in range(len(order))]
+    as_text = ", ".join(f"{n}: string" for n in names)
+    typed = ", ".join(f"{n}: {kind}" for n, kind in zip(names, kinds))
+    table = df.sparkSession.createDataFrame(cuts, f"_cut_key bigint, _cuts array<struct<{as_text}>>")
+    table = table.withColumn("_cuts", F.col("_cuts").cast(f"array<struct<{typed}>>"))
+    # At most MAX_HOT_KEYS rows, which hold MAX_SLICES points together.
+    joined = df.join(F.broadcast(table), key_hash(keys) == F.col("_cut_key"), "left")
+    here = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names)])
+    strides = F.array(*[F.lit(2**b) for b in reversed(range(most.bit_length()))])
+    # Halving search: a stride is taken when the point it leads to is at or below the row.
+    found = F.reduce(
+        strides, F.lit(0),
+        lambda at, stride: F.when(F.get("_cuts", at + stride - 1) <= here, at + stride).otherwise(at),
     )
-
-
-def sliced_column(df: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], limit: int) -> Column:
-    """Slice number of a row: 0 for keys that are not hot."""
-    hot_row = is_hot(keys, hot)
-    cuts = cut_points(df.filter(hot_row), order, sum(hot.values()), limit)
-    return F.when(hot_row, slice_of(df, order, cuts)).otherwise(F.lit(0))
+    return joined.withColumn(out, F.when(F.col("_cuts").isNull(), 0).otherwise(found)).drop("_cut_key", "_cuts")
 
 
 @dataclass(frozen=True)
@@ -162,7 +173,7 @@ class Ordered:
             carry = self._carry(position, total, sums, previous, last)
             match = [df[k].eqNullSafe(carry[f"_key_{i}"]) for i, k in enumerate(self.keys)]
             match.append(df[SLICE] == carry["_at"])
-            # At most MAX_HOT_KEYS * MAX_SLICES rows.
+            # One row per slice of a hot key, at most MAX_SLICES + MAX_HOT_KEYS.
             df = df.join(F.broadcast(carry), reduce(lambda a, b: a & b, match), "left")
 
         whole = Window.partitionBy(*group)
@@ -199,17 +210,20 @@ class Ordered:
         return self.df.drop(SLICE)
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> Ordered:
+def ordered(
+    df: DataFrame, keys: list[str], order: list[str], descending: bool = False, hot: dict[int, float] | None = None,
+    probe: DataFrame | None = None,
+) -> Ordered:
     """Prepare a table for ordered work; the order should be total inside a key.
 
-    Looks at a sample of the keys first. No keys means one sequence over the
-    whole table.
+    Looks at a sample of the keys first, unless the hot ones are given. No keys means one sequence
+    over the whole table. ``probe`` is a cheaper frame with the same keys and order columns to sample from.
     """
     keys, order = list(keys), list(order)
-    limit = hot_rows_limit(df)
-    hot = hot_keys(df, keys, limit)
+    if hot is None:
+        hot = hot_keys(df if probe is None else probe, keys, hot_rows_limit(df))
     if hot:
-        df = df.withColumn(SLICE, sliced_column(df, keys, order, hot, limit))
+        df = with_slices(df, keys, order, hot, SLICE, probe)
     return Ordered(df, keys, order, descending, hot)
 
 
