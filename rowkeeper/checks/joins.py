@@ -9,7 +9,6 @@ from rowkeeper.plans.concordance import concordance_counts as pair_counts
 from rowkeeper.sources.readers import inline_rows
 
 SIX_HOURS = 6 * 3_600_000_000
-HALF_HOUR = 1_800_000_000
 
 
 def money(col):
@@ -155,7 +154,7 @@ FROM a JOIN b ON a.user_id = b.user_id AND a.start_us <= b.end_us AND b.start_us
 def interval_overlap(t):
     events = t.events
     return joins.interval_overlap(
-        spans(events, "purchase"), spans(events, "error"), "start_us", "end_us", ["user_id"], HALF_HOUR
+        spans(events, "purchase"), spans(events, "error"), "start_us", "end_us", ["user_id"]
     )
 
 

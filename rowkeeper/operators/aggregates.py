@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkeeper.plans.ordered import ordered
+from rowkeeper.plans.spread import repeat_rows
 from rowkeeper.schemas import ALLOCATION_ERROR, VOWELS
 
 LIST_PART = 1_000
-REPEAT_STEP = 100_000
 BLANKS = r"[ \t\n\r\f]+"
 
 
@@ -100,21 +100,10 @@ def pivot_counts(df: DataFrame, row: str, item: str, values: list) -> DataFrame:
     return df.groupBy(row).agg(*counts).orderBy(row)
 
 
-def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Each row as often as it says. Large counts are cut into steps that spread over
-    the tasks before they are written out."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = df.filter(F.col(times) > 0).withColumn(
-        "_step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(`{times}` - 1) div {REPEAT_STEP}")))
-    ).repartition(parts, "_step", *df.columns)
-    size = F.least(F.lit(REPEAT_STEP).cast("bigint"), F.col(times) - F.col("_step") * REPEAT_STEP)
-    return steps.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop("_step", "_copy")
-
-
 def duplicate_values(df: DataFrame, keys: list[str]) -> DataFrame:
     """Values that occur more than once, each count - 1 times."""
     counted = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_extra")).filter(F.col("_extra") > 0)
-    return repeat_rows(counted, "_extra").drop("_extra")
+    return repeat_rows(counted, "_extra")
 
 
 def common_multiset(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -124,7 +113,7 @@ def common_multiset(df: DataFrame, group: str, item: str) -> DataFrame:
     everywhere = counted.groupBy(item).agg(
         F.count(F.lit(1)).alias("_groups"), F.min("n").alias("_times")
     ).filter(F.col("_groups") == groups)
-    return repeat_rows(everywhere.select(item, "_times"), "_times").drop("_times")
+    return repeat_rows(everywhere.select(item, "_times"), "_times")
 
 
 def route_average(df: DataFrame, who: str, place: str, ts: str, seconds: Callable[[Column, Column], Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkeeper.plans.ordered import ordered
+from rowkeeper.plans.spread import spread_range
 
 
 def history_join(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -34,9 +35,9 @@ def semi_join(left: DataFrame, right: DataFrame, keys: list[str], right_filter:
 def update_from_join(target: DataFrame, changes: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Replace a column where the key has a change. Changes are reduced to one per key
     (the largest value) before they are joined."""
-    one = changes.groupBy(*keys).agg(F.max(F.struct(F.col(col).alias("new"))).alias("_change"))
+    one = changes.groupBy(*keys).agg(F.max(col).alias("_new")).withColumn("_changed", F.lit(1))
     joined = target.join(one, keys, "left")
-    updated = F.when(F.col("_change").isNull(), F.col(col)).otherwise(F.col("_change")["new"])
+    updated = F.when(F.col("_changed").isNull(), F.col(col)).otherwise(F.col("_new"))
     return joined.select(*[updated.alias(c) if c == col else F.col(c) for c in target.columns])
 
 
@@ -65,29 +66,50 @@ def dict_lookup(df: DataFrame, col: str, lookup: DataFrame) -> DataFrame:
     return joined.withColumn("missing", F.when(F.col("_found").isNull(), 1).otherwise(0)).drop("_found")
 
 
-def interval_overlap(
-    a: DataFrame, b: DataFrame, start: str, end: str, keys: list[str], width: int
-) -> DataFrame:
-    """Intersections of two sets of closed intervals with whole-number ends.
+def interval_overlap(a: DataFrame, b: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
+    """Intersections of two sets of closed intervals; touching ends give a point.
 
-    Both sides go into the buckets of ``width`` that they touch, so a hot key is spread
-    along its axis; a pair is kept only in the bucket of its later start. Take a width near the
-    usual length.
+    Two intervals meet when one holds the start of the other. Sorted by start, the starts that an interval holds are
+    a run of ranks: one scan gives the first rank, a second one the last. So only pairs that
+    do meet are built, however dense the intervals of a key are.
     """
-    def bucketed(df: DataFrame, side: str) -> DataFrame:
-        buckets = F.sequence(F.expr(f"`{start}` div {width}"), F.expr(f"`{end}` div {width}"))
-        others = [F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys]
-        return df.select(*keys, *others, F.explode(buckets).alias("_bucket"))
-
-    def both(col: str) -> list[Column]:
-        return [F.col(f"{col}_a"), F.col(f"{col}_b")]
-
-    joined = bucketed(a, "a").join(bucketed(b, "b"), [*keys, "_bucket"], "inner")
-    met = joined.withColumn("overlap_start", F.greatest(*both(start))).withColumn("overlap_end", F.least(*both(end)))
-    return met.filter(
-        (F.col("overlap_start") <= F.col("overlap_end"))
-        & (F.col("_bucket") == F.expr(f"overlap_start div {width}"))
-    ).drop("_bucket")
+    sides = {"a": a, "b": b}
+    others = {side: [c for c in df.columns if c not in keys] for side, df in sides.items()}
+
+    def tagged(side: str) -> DataFrame:
+        rows = {s: F.struct(*others[s]) if s == side else F.lit(None).cast(sides[s].select(F.struct(*others[s])).schema[0].dataType)
+                for s in sides}
+        return sides[side].select(
+            *keys, F.lit(side).alias("_side"), F.col(start).alias("_start"), F.col(end).alias("_end"),
+            rows["a"].alias("_a"), rows["b"].alias("_b"),
+        )
+
+    is_a, is_b = [F.when(F.col("_side") == side, 1).otherwise(0) for side in "ab"]
+    stacked = tagged("a").unionByName(tagged("b"))
+    # At equal starts a comes before b, so a pair with one start is found from its a only.
+    # The row itself ends the order: ranks must come out the same in every evaluation.
+    by_start = ordered(stacked, keys, ["_start"]).by(["_start", "_side", "_end", "_a", "_b"])
+    placed = by_start.add(sums={"_rank_a": is_a, "_rank_b": is_b}).rows()
+    starts = stacked.select(*keys, F.col("_start").alias("_pos"), "_side", F.lit(0).alias("_kind"))
+    ends = placed.withColumn("_pos", F.col("_end")).withColumn("_kind", F.lit(1))
+    counted = {f"_last_{s}": F.when((F.col("_side") == s) & (F.col("_kind") == 0), 1).otherwise(0) for s in sides}
+    by_end = ordered(ends.unionByName(starts, allowMissingColumns=True), keys, ["_pos"]).by(["_pos", "_kind"])
+    probes = by_end.add(sums=counted).rows().filter(F.col("_kind") == 1)
+
+    def met(side: str, other: str) -> DataFrame:
+        own = probes.filter(F.col("_side") == side).select(
+            *keys, f"_{side}", (F.col(f"_rank_{other}") + 1).alias("_first"), F.col(f"_last_{other}").alias("_last")
+        )
+        held = placed.filter(F.col("_side") == other).select(*keys, F.col(f"_rank_{other}").alias("_rank"), f"_{other}")
+        return spread_range(own, "_first", "_last", "_rank").join(held, [*keys, "_rank"], "inner")
+
+    pairs = met("a", "b").unionByName(met("b", "a"))
+    columns = [F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in sides for c in others[s]]
+    bounds = [
+        F.greatest(F.col("_a")[start], F.col("_b")[start]).alias("overlap_start"),
+        F.least(F.col("_a")[end], F.col("_b")[end]).alias("overlap_end"),
+    ]
+    return pairs.select(*keys, *columns, *bounds)
 
 
 def inventory_match(files: DataFrame, history: DataFrame, path: str) -> DataFrame:

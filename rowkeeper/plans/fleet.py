@@ -143,11 +143,8 @@ def job_outcome(jobs: DataFrame, attempts: DataFrame, as_of: str) -> DataFrame:
 def alert_rows(failures: DataFrame, recipients: DataFrame, kind: str) -> DataFrame:
     """Message rows for failures: recipients by notification type, subject and body."""
     to = recipients.filter((F.col("key_code") == "mail") & (F.col("key_description") == kind))
-    addressed = failures.withColumn("key_description", F.lit(kind)).join(
-        to.select("key_description", F.col("key_value").alias("recipients")), "key_description", "left"
-    )
-    return addressed.select(
-        "recipients",
+    return failures.select(
+        to.agg(F.min("key_value")).scalar().alias("recipients"),
         F.format_string("Error detected for %s", "server_name").alias("subject"),
         F.format_string("Database %s: %s", "database_name", "error_message").alias("body"),
         F.lit("High").alias("importance"),
