@@ -145,7 +145,9 @@ def covered_length(t):
     return aggregates.covered_length(t.part, "p_name", ALLOWED, ["p_brand"])
 
 
-@check("fold_sum", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
+@check("fold_sum", """
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings
+""")
 def fold_sum(t):
     folded = aggregates.fold_sum(t.embeddings, "embedding")
     return folded.select("vec_id", F.round("total", 6).alias("total"))

@@ -38,7 +38,8 @@ def history(t):
 def media(t):
     """Large sets are striped over two devices."""
     stripes = F.when(F.col("value") > 80, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-    return t.events.select(F.col("event_id").alias("media_set_id"), F.explode(stripes).alias("stripe"), "user_id").select(
+    striped = t.events.select(F.col("event_id").alias("media_set_id"), F.explode(stripes).alias("stripe"), "user_id")
+    return striped.select(
         "media_set_id", F.concat(F.lit("dev_"), text("user_id"), F.lit("_"), "stripe").alias("physical_device_name")
     )
 

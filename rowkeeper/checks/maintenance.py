@@ -73,7 +73,8 @@ SELECT o_orderkey, placed FROM (SELECT o_orderkey, CASE WHEN o_orderpriority <>
 WHERE placed IS NULL OR placed > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 2 YEAR
 """)
 def retention_purge(t):
-    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("placed"))
+    placed = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate"))
+    rows = t.orders.select("o_orderkey", placed.alias("placed"))
     return maintenance.retention_purge(rows, "placed", 2, ORDERS_AS_OF)
 
 

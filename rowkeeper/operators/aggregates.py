@@ -116,7 +116,9 @@ def common_multiset(df: DataFrame, group: str, item: str) -> DataFrame:
     return repeat_rows(everywhere.select(item, "_times"), "_times")
 
 
-def route_average(df: DataFrame, who: str, place: str, ts: str, seconds: Callable[[Column, Column], Column]) -> DataFrame:
+def route_average(
+    df: DataFrame, who: str, place: str, ts: str, duration: Callable[[Column, Column], Column]
+) -> DataFrame:
     """Average duration per (start, end) over consecutive records of one who."""
     scan = ordered(df.select(who, place, ts), [who], [ts]).add(previous={
         "start_place": (F.col(place), F.lit(None)), "_left": (F.col(ts), F.lit(None)),
@@ -124,7 +126,7 @@ def route_average(df: DataFrame, who: str, place: str, ts: str, seconds: Callabl
     legs = scan.rows().filter(F.col("_left").isNotNull())
     return legs.groupBy("start_place", F.col(place).alias("end_place")).agg(
         F.count(F.lit(1)).alias("n_legs"),
-        F.avg(seconds(F.col("_left"), F.col(ts))).alias("avg_duration"),
+        F.avg(duration(F.col("_left"), F.col(ts))).alias("avg_duration"),
     )
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkeeper.plans.ordered import ordered
+from rowkeeper.plans.skew import skew_join
 from rowkeeper.plans.spread import spread_range
 
 
 def history_join(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    return left.join(right, keys, "inner").select(*cols).distinct()
+    """Distinct columns of an inner join. The right side is the one with several rows per key; its hot keys are
+    salted, as the distinct after the join would keep them together."""
+    return skew_join(right, left, keys).select(*cols).distinct()
 
 
 def multi_key_join(left: DataFrame, right: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
@@ -25,11 +28,11 @@ def star_join(fact: DataFrame, dims: list[tuple[DataFrame, list[str]]]) -> DataF
 
 
 def anti_join(left: DataFrame, right: DataFrame, keys: list[str], right_filter: Column) -> DataFrame:
-    return left.join(right.filter(right_filter).select(*keys), keys, "left_anti")
+    return skew_join(left, right.filter(right_filter).select(*keys).distinct(), keys, "left_anti")
 
 
 def semi_join(left: DataFrame, right: DataFrame, keys: list[str], right_filter: Column) -> DataFrame:
-    return left.join(right.filter(right_filter).select(*keys), keys, "left_semi")
+    return skew_join(left, right.filter(right_filter).select(*keys).distinct(), keys, "left_semi")
 
 
 def update_from_join(target: DataFrame, changes: DataFrame, keys: list[str], col: str) -> DataFrame:
@@ -76,9 +79,10 @@ def interval_overlap(a: DataFrame, b: DataFrame, start: str, end: str, keys: lis
     sides = {"a": a, "b": b}
     others = {side: [c for c in df.columns if c not in keys] for side, df in sides.items()}
 
+    kinds = {s: df.select(F.struct(*others[s])).schema[0].dataType for s, df in sides.items()}
+
     def tagged(side: str) -> DataFrame:
-        rows = {s: F.struct(*others[s]) if s == side else F.lit(None).cast(sides[s].select(F.struct(*others[s])).schema[0].dataType)
-                for s in sides}
+        rows = {s: F.struct(*others[s]) if s == side else F.lit(None).cast(kinds[s]) for s in sides}
         return sides[side].select(
             *keys, F.lit(side).alias("_side"), F.col(start).alias("_start"), F.col(end).alias("_end"),
             rows["a"].alias("_a"), rows["b"].alias("_b"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowkeeper.operators.filters import moment
 from rowkeeper.functions.scalars import plus
+from rowkeeper.plans.skew import skew_join
 from rowkeeper.sources.writers import replace_table
 
 
@@ -90,7 +91,7 @@ def target_copy(spark: SparkSession, path: str, target: str, value) -> DataFrame
 
 def incremental_rows(batch: DataFrame, marks: DataFrame, source: str, id: str) -> DataFrame:
     """Rows above the mark of their source; a source without a mark starts at 0."""
-    joined = batch.join(marks.select(source, "mark"), source, "left")
+    joined = skew_join(batch, marks.select(source, "mark"), [source], "left")
     return joined.filter(F.col(id) > F.coalesce(F.col("mark"), F.lit(0))).select(*batch.columns)
 
 

@@ -3,10 +3,10 @@
 For every row of a key in its order: how many earlier and later rows are smaller or greater. All four
 numbers follow from positions and from the earlier rows that sort lower by (value, order).
 
-Those are counted digit by digit. Ranks are written with DIGIT as base; two ranks differ first in one digit, so an earlier
-row with a lower rank shares the digits before that place and has a lower digit there. One running count per digit value,
-inside (key, digits before), finds them. A key of n rows takes log(n) rounds; without hot keys all rounds
-use the one shuffle by key.
+Those are counted digit by digit. Ranks are written with DIGIT as base; two ranks differ first in one digit, so
+an earlier row with a lower rank shares the digits before that place and has a lower digit there. One running count
+per digit value, inside (key, digits before), finds them. A key of n rows takes log(n) rounds; without hot
+keys all rounds use the one shuffle by key.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def earlier_lower(placed: DataFrame, keys: list[str], largest: int, hot: bool, out: str) -> DataFrame:
-    """Per row the rows of its key with a smaller ``_pos`` and a smaller ``_rank``, for keys of up to ``largest`` rows."""
+    """Per row the rows of its key with a smaller ``_pos`` and ``_rank``, for keys of up to ``largest`` rows."""
     limit = hot_rows_limit(placed)
     rounds = 1
     while DIGIT**rounds < largest:

@@ -14,6 +14,7 @@ from rowkeeper.operators.joins import directory_lookup, semi_join
 from rowkeeper.operators.maintenance import incremental_rows, retention_purge
 from rowkeeper.operators.ordering import sample_per_source
 from rowkeeper.operators.reshape import membership_diff, nested_explode_report, unpivot_columns
+from rowkeeper.plans.skew import skew_join
 from rowkeeper.schemas import (
     ACTION_FAILED, ARCHIVE_YEARS, CAPPED_ACTIONS, DEPLOY_CONFIG, MAX_COPY_MB,
 )
@@ -81,7 +82,7 @@ def pii_content(df: DataFrame, text: str, patterns: dict[str, str], by: list[str
 
 
 def archive_rows(sets: DataFrame, media: DataFrame) -> DataFrame:
-    return sets.join(media, "media_set_id", "inner").select(
+    return skew_join(media, sets, ["media_set_id"]).select(
         "backup_set_id", "server_name", "database_name", "physical_device_name", "backup_start_date", "type",
     )
 
@@ -102,7 +103,7 @@ def backup_archive(
 
 def rule_or_default(jobs: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The rule text of each job; a job whose rule is not configured gets the default one and a flag."""
-    return jobs.join(rules.select("backup_rule", "rule_text"), "backup_rule", "left").withColumn(
+    return skew_join(jobs, rules.select("backup_rule", "rule_text"), ["backup_rule"], "left").withColumn(
         "no_backup_rule", F.when(F.col("rule_text").isNull(), 1).otherwise(0)
     ).withColumn("rule_text", F.coalesce("rule_text", F.lit(default)))
 

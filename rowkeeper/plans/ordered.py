@@ -61,7 +61,9 @@ def is_hot(keys: list[str], hot: dict[int, float]) -> Column:
     return key_hash(keys).isin(list(hot)) if hot else F.lit(False)
 
 
-def cut_points(rows: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], slice_rows: int) -> list[tuple]:
+def cut_points(
+    rows: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], slice_rows: int
+) -> list[tuple]:
     """(key hash, values of the order columns as text) that cut each hot key into equally filled slices.
 
     The sample has CUTS_SAMPLE rows per slice, so its size is bounded like the slices.

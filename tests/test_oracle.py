@@ -11,6 +11,8 @@ ORDERED = [
     "retention_candidates", "size_buckets", "fixed_chunks", "run_changes", "circular_sum", "circular_sum_back",
     "systematic_sample", "multi_key_sort", "custom_order", "numeric_text_sort", "id_list", "join_names",
     "route_average", "sortedness_check", "nearest_each_side", "concordance_counts", "job_outcome", "oncall_notice",
+    "interval_overlap", "history_join", "semi_join", "anti_join", "incremental_append", "integrity_collect",
+    "backup_archive", "rule_or_default", "delete_candidates",
 ]
 WITHOUT_SQL = {"file_inventory"}
 
