@@ -126,7 +126,10 @@ def backup_archive(t):
     first = sets.filter(
         (F.col("server_name") != "1-URGENT") & (F.col("backup_start_date") < moment("1998-01-01"))
     )
-    return fleet.backup_archive(fleet.archive_rows(first, devices), sets, devices, ORDERS_AS_OF)
+    path = workspace(t.spark, "archive")
+    loaded = fleet.archive_rows(first, devices)
+    append_table(loaded, path)
+    return fleet.backup_archive(t.spark.read.schema(loaded.schema).parquet(path), sets, devices, ORDERS_AS_OF)
 
 
 RULES = [("ECONOMY", "FULL"), ("STANDARD", "DIFF"), ("PROMO", "LOG"), ("SMALL", "COPY")]

@@ -85,3 +85,15 @@ def inline_rows(spark: SparkSession, rows: list[tuple], schema: StructType | str
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = {field.name: [row[i] for row in rows] for i, field in enumerate(fields)}
     return F.broadcast(spark.createDataFrame(pa.table(columns), fields))
+
+
+def json_documents(spark: SparkSession, path: str, out: str = "config") -> DataFrame:
+    """One row per JSON file, as text for ``json_flatten``; a file is one document."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("full_name"), F.col("value").alias(out)
+    )
+
+
+def json_list(df: DataFrame, col: str, schema: str, out: str) -> DataFrame:
+    """Parse a JSON list of objects into an array column; ``schema`` lists the fields wanted from each object."""
+    return df.withColumn(out, F.from_json(F.col(col), f"array<struct<{schema}>>"))

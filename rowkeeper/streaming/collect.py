@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from rowkeeper.sources.writers import append_table, staged_insert
+
 
 def stream_collect(
-    spark: SparkSession, path: str, schema: StructType | str, out: str, ckpt: str,
-    resent: tuple[list[str], str, str] | None = None, files_per_batch: int = 1_000,
+    spark: SparkSession, path: str, schema: StructType | str, out: str, ckpt: str, keys: list[str] | None = None,
+    files_per_batch: int = 1_000,
 ) -> StreamingQuery:
     """Append what is new under ``path`` to ``out`` and stop.
 
-    The checkpoint takes the place of the stored mark: a file is loaded once, also across restarts. When sources
-    resend rows give ``resent`` as (key columns, time column, how late a copy can come); the state then
-    keeps only the keys of that span.
+    The checkpoint takes the place of the stored mark: a file is loaded once, also across restarts. When sources send
+    rows again give their ``keys``: each batch then leaves out what the output holds. That needs no streaming state,
+    loses no late row, and makes a repeated batch harmless.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    if resent is not None:
-        keys, ts, late = resent
-        rows = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-    return (
-        rows.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
-    )
+    writer = rows.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if keys is None:
+        return writer.format("parquet").outputMode("append").option("path", out).start()
+
+    # The output has to exist before the first batch is compared with it.
+    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(out)
+
+    def load(batch: DataFrame, _: int) -> None:
+        target = batch.sparkSession.read.schema(rows.schema).parquet(out)
+        append_table(staged_insert(target, batch, keys), out)
+
+    return writer.foreachBatch(load).start()

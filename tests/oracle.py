@@ -15,7 +15,8 @@ def connect(folder):
     con = duckdb.connect()
     for path in glob.glob(os.path.join(folder, "*.parquet")):
         name = os.path.basename(path).removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 

@@ -254,16 +254,50 @@ def test_stream_picks_up_only_new_files(spark):
     assert run() == list(range(8))
 
 
-def test_stream_drops_resent_rows(spark):
+def test_stream_leaves_out_resent_rows_and_keeps_late_ones(spark):
     root = workspace(spark, "resent")
-    schema = "id bigint, at timestamp"
-    for first, last in ((0, 5), (3, 8)):
-        rows = spark.range(first, last).select("id", F.lit(AS_OF).cast("timestamp").alias("at"))
+    schema = "id bigint, at timestamp_ntz"
+    for first, last, day in ((0, 5, "2024-01-31"), (3, 8, "2020-01-01")):
+        rows = spark.range(first, last).select("id", F.lit(day).cast("timestamp_ntz").alias("at"))
         rows.write.mode("append").parquet(f"{root}/in")
-        stream_collect(
-            spark, f"{root}/in", schema, f"{root}/out", f"{root}/ckpt", resent=(["id"], "at", "1 day")
-        ).awaitTermination()
-    assert sorted(r.id for r in spark.read.schema(schema).parquet(f"{root}/out").collect()) == list(range(8))
+        stream_collect(spark, f"{root}/in", schema, f"{root}/out", f"{root}/ckpt", keys=["id"]).awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{root}/out").collect()
+    assert sorted((r.id, r.at.year) for r in rows) == [(i, 2024 if i < 5 else 2020) for i in range(8)]
+
+
+def test_json_files_become_a_plan(spark, tmp_path):
+    for name, action in (("one", "DetachAttach"), ("two", "Rename")):
+        (tmp_path / f"{name}.config").write_text(
+            '{\n "Environment": "E",\n "TargetServer": "T",\n "Servers": [\n  {"ServerName": "s", "Databases": [\n'
+            f'   {{"Name": "{name}", "NewName": "n", "Action": "{action}"}}\n  ]}}\n ]\n}}\n'
+        )
+    plan = fleet.deploy_plan(readers.json_documents(spark, str(tmp_path)), schemas.DEPLOY_ACTIONS)
+    assert {(r.Name, r.reject_reason) for r in plan.collect()} == {("one", None), ("two", "invalid_action")}
+
+
+def test_access_report_from_json_lists(spark, tmp_path):
+    answers = [
+        ("repo1", '[{"login": "ann", "role_name": "admin", "id": 1}, {"login": "bo", "role_name": "read"}]'),
+        ("repo2", '[{"login": "ann", "role_name": "write"}]'), ("repo3", "[]"),
+    ]
+    parsed = readers.json_list(
+        spark.createDataFrame(answers, "Repo string, answer string"), "answer", "login string, role_name string", "people"
+    )
+    fleet.access_report(parsed, "Repo", "people", str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert as_set(back) == {("repo1", "ann", "admin"), ("repo1", "bo", "read"), ("repo2", "ann", "write")}
+    assert back.columns == ["Repo", "login", "role_name"]
+
+
+def test_merged_requests_since(spark):
+    text = (
+        '[{"title": "a", "headRefName": "x", "mergedAt": "2024-01-01T00:00:00Z", "state": "MERGED"},'
+        ' {"title": "b", "headRefName": "y", "mergedAt": "2024-01-02T10:00:00Z", "state": "MERGED"}]'
+    )
+    listed = readers.json_list(spark.createDataFrame([(text,)], "t string"), "t", schemas.MERGED, "requests")
+    rows = listed.select(F.inline("requests"))
+    got = filters.merged_since(rows, "mergedAt", "2024-01-01", ["title", "headRefName", "mergedAt", "state"])
+    assert [r.title for r in got.collect()] == ["b"]
 
 
 def test_workspace_is_new_and_follows_the_session(spark):
