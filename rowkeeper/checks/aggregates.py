@@ -3,7 +3,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowkeeper.checks.registry import check
-from rowkeeper.functions.scalars import epoch_micros
 from rowkeeper.operators import aggregates
 
 
@@ -127,10 +126,8 @@ SELECT start_place, end_place, count(*) AS n_legs, round(avg(came - gone) / 1000
 FROM l WHERE gone IS NOT NULL GROUP BY start_place, end_place
 """)
 def route_average(t):
-    routes = aggregates.route_average(
-        t.events, "user_id", "event_type", "ts", lambda a, b: epoch_micros(b) - epoch_micros(a)
-    )
-    return routes.withColumn("avg_duration", F.round(F.col("avg_duration") / 1_000_000, 3))
+    routes = aggregates.route_average(t.events, "user_id", "event_type", "ts")
+    return routes.withColumn("avg_duration", F.round("avg_duration", 3))
 
 
 ALLOWED = "abdegilmnrstw"

@@ -8,7 +8,7 @@ from rowkeeper.operators.filters import moment
 from rowkeeper.plans import fleet
 from rowkeeper.plans.ordered import ordered
 from rowkeeper.schemas import DEPLOY_ACTIONS, FILE_DELETED
-from rowkeeper.session import workspace
+from rowkeeper.session import workspace, written
 from rowkeeper.sources.readers import catalog_columns, inline_rows
 from rowkeeper.sources.writers import append_table
 
@@ -119,17 +119,15 @@ def backup_archive(t):
         F.col("o_orderpriority").alias("server_name"), text("o_custkey").alias("database_name"),
         F.col("o_orderdate").alias("backup_start_date"), F.col("o_orderstatus").alias("type"),
     )
-    devices = t.lineitem.select(
+    devices = written(t.lineitem.select(
         F.col("l_orderkey").alias("media_set_id"),
         F.concat(F.lit("dev_"), text("l_suppkey")).alias("physical_device_name"),
-    ).distinct()
+    ).distinct(), "devices")
     first = sets.filter(
         (F.col("server_name") != "1-URGENT") & (F.col("backup_start_date") < moment("1998-01-01"))
     )
-    path = workspace(t.spark, "archive")
-    loaded = fleet.archive_rows(first, devices)
-    append_table(loaded, path)
-    return fleet.backup_archive(t.spark.read.schema(loaded.schema).parquet(path), sets, devices, ORDERS_AS_OF)
+    archive = written(fleet.archive_rows(first, devices), "archive")
+    return fleet.backup_archive(archive, sets, devices, ORDERS_AS_OF)
 
 
 RULES = [("ECONOMY", "FULL"), ("STANDARD", "DIFF"), ("PROMO", "LOG"), ("SMALL", "COPY")]

@@ -25,6 +25,10 @@ def epoch_micros(ts: Column) -> Column:
     return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    return (epoch_micros(end) - epoch_micros(start)) / 1_000_000
+
+
 def swap_case(c: Column) -> Column:
     return F.translate(c, UPPER + LOWER, LOWER + UPPER)
 

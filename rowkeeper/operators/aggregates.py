@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowkeeper.functions.scalars import seconds_between
 from rowkeeper.plans.ordered import ordered
 from rowkeeper.plans.spread import repeat_rows
 from rowkeeper.schemas import ALLOCATION_ERROR, VOWELS
@@ -117,7 +118,7 @@ def common_multiset(df: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def route_average(
-    df: DataFrame, who: str, place: str, ts: str, duration: Callable[[Column, Column], Column]
+    df: DataFrame, who: str, place: str, ts: str, duration: Callable[[Column, Column], Column] = seconds_between
 ) -> DataFrame:
     """Average duration per (start, end) over consecutive records of one who."""
     scan = ordered(df.select(who, place, ts), [who], [ts]).add(previous={

@@ -31,8 +31,12 @@ def oldest_eligible(df: DataFrame, conditions: list[Column], id: str) -> DataFra
 
 def sample_per_source(df: DataFrame, source: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of every source by an order, which makes the sample repeatable."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("bigint")
-    return df.withColumn("position", place).filter(F.col("position") <= n)
+    if n > GROUP_LIMIT:
+        placed = ordered(df, [source], order).add(position="position").rows()
+    else:
+        place = F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("bigint")
+        placed = df.withColumn("position", place)
+    return placed.filter(F.col("position") <= n)
 
 
 def kth_row(df: DataFrame, order: list[str], k: int, keys: list[str] | None = None) -> DataFrame:

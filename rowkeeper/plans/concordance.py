@@ -15,18 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkeeper.plans.ordered import hot_keys, hot_rows_limit, ordered
-from rowkeeper.session import workspace
+from rowkeeper.session import written
 
 DIGIT = 16
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder, so that later jobs do not compute it again."""
-    path = workspace(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def earlier_lower(placed: DataFrame, keys: list[str], largest: int, hot: bool, out: str) -> DataFrame:
     """Per row the rows of its key with a smaller ``_pos`` and ``_rank``, for keys of up to ``largest`` rows."""
     limit = hot_rows_limit(placed)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 HOT_ROWS_CONF = "spark.rowkeeper.hotRows"
 HOT_ROWS = 4_000_000  # rows of one key that one task may hold
 SAMPLED_ROWS = 2_000  # rows sampled from a key that is just hot
-MAX_HOT_KEYS = 256
+MAX_HOT_KEYS = 4_096  # keys beyond these hold less than 1/4096 of the rows each and stay whole
 MAX_SLICES = 16_384  # of all hot keys together; also bounds the carry table
 CUTS_SAMPLE = 16  # sampled rows per slice
 SEED = 7
@@ -57,10 +57,6 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> dict[int, float]:
     return {row.key_hash: row.n / fraction for row in counted.collect()}
 
 
-def is_hot(keys: list[str], hot: dict[int, float]) -> Column:
-    return key_hash(keys).isin(list(hot)) if hot else F.lit(False)
-
-
 def cut_points(
     rows: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], slice_rows: int
 ) -> list[tuple]:
@@ -72,7 +68,9 @@ def cut_points(
     sampled = rows.select(key_hash(keys).alias("key_hash"), *order)
     if fraction < 1.0:
         sampled = sampled.sample(fraction, SEED)
-    values = sampled.distinct().orderBy("key_hash", *order).select(
+    # One row per hot key.
+    wanted = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "key_hash bigint"))
+    values = sampled.join(wanted, "key_hash", "left_semi").distinct().orderBy("key_hash", *order).select(
         "key_hash", *[F.col(c).cast("string") for c in order]
     ).collect()
     found = []
@@ -87,13 +85,13 @@ def cut_points(
 def with_slices(
     df: DataFrame, keys: list[str], order: list[str], hot: dict[int, float], out: str, probe: DataFrame | None = None
 ) -> DataFrame:
-    """Add the slice number of each row: the cut points of its key at or below it, 0 for keys that are not hot."""
+    """Add the slice number of each row: 0 for keys that are not hot, else 1 and up along the order."""
     slice_rows = max(hot_rows_limit(df) // 2, math.ceil(sum(hot.values()) / MAX_SLICES), 1)
     probe = df if probe is None else probe
-    cuts = cut_points(probe.filter(is_hot(keys, hot)), keys, order, hot, slice_rows)
+    cuts = cut_points(probe, keys, order, hot, slice_rows)
     most = max([len(points) for _, points in cuts], default=0)
     if most == 0:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0))  # Nothing to cut by: the keys stay whole.
     kinds = [df.schema[c].dataType.simpleString() for c in order]
     names = [f"o{i}" for i in range(len(order))]
     as_text = ", ".join(f"{n}: string" for n in names)
@@ -109,7 +107,7 @@ def with_slices(
         strides, F.lit(0),
         lambda at, stride: F.when(F.get("_cuts", at + stride - 1) <= here, at + stride).otherwise(at),
     )
-    return joined.withColumn(out, F.when(F.col("_cuts").isNull(), 0).otherwise(found)).drop("_cut_key", "_cuts")
+    return joined.withColumn(out, F.when(F.col("_cuts").isNull(), 0).otherwise(found + 1)).drop("_cut_key", "_cuts")
 
 
 @dataclass(frozen=True)
@@ -141,7 +139,7 @@ class Ordered:
         parts += [F.sum(e).alias(f"_sum_{name}") for name, e in sums.items()]
         parts += [final(F.struct(e.alias("v")), here).alias(f"_prev_{name}") for name, (e, _) in previous.items()]
         parts += [final(e, F.when(e.isNotNull(), here)).alias(f"_last_{name}") for name, e in last.items()]
-        summary = self.df.filter(is_hot(self.keys, self.hot)).groupBy(*self.keys, SLICE).agg(*parts)
+        summary = self.df.filter(F.col(SLICE) > 0).groupBy(*self.keys, SLICE).agg(*parts)
 
         every = Window.partitionBy(*self.keys)
         along = every.orderBy(F.desc(SLICE) if self.descending else F.asc(SLICE))

@@ -1,6 +1,7 @@
 """Edge cases and properties of filters, maintenance, sinks and fleet compositions."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,27 @@ def test_merged_requests_since(spark):
 def test_workspace_is_new_and_follows_the_session(spark):
     assert workspace(spark, "a") != workspace(spark, "a")
 
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+
+    shared = session("yarn", **{"spark.checkpoint.dir": "hdfs://x/shared/"})
+    assert workspace(shared, "a").startswith("hdfs://x/shared/a-")
+    with pytest.raises(ValueError):
+        workspace(session("yarn"), "a")
+
+
+@pytest.mark.parametrize("n", [3, 1001])
+def test_sample_per_source_large_and_small(spark, few_hot_rows, n):
+    df = spark.range(3000).select((F.col("id") % 2).alias("s"), "id")
+    got = ordering.sample_per_source(df, "s", ["id"], n)
+    assert got.count() == 2 * n and got.agg(F.max("id")).first()[0] == 2 * n - 1
+
+
+def test_large_k_takes_the_sliced_path(spark, few_hot_rows):
+    df = spark.range(3000).select((F.col("id") % 2).alias("s"), "id")
+    assert as_set(ordering.kth_row(df, ["id"], 1200, ["s"])) == {(0, 2398), (1, 2399)}
+
 
 def test_incremental_read_reaches_the_scan(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

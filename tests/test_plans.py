@@ -57,6 +57,15 @@ def test_ranked_table_has_no_single_task_when_large(spark, few_hot_rows):
     assert "hashpartitioning(_slice" in text and "SinglePartition" not in rows_window.split("Exchange")[1][:40]
 
 
+def test_copy_of_one_target_reads_one_folder(spark, tmp_path):
+    from rowkeeper.operators.maintenance import split_by_target, target_copy
+
+    df = spark.range(60).withColumn("target", (F.col("id") % 6).cast("int"))
+    split_by_target(df, "target", str(tmp_path / "t"))
+    copy = target_copy(spark, str(tmp_path / "t"), "target", 4)
+    assert copy.count() == 10 and "PartitionFilters: [isnotnull(target" in plan(copy)
+
+
 def test_written_partitions_are_rebalanced(spark, tmp_path):
     from rowkeeper.sources.writers import replace_table
 
