@@ -42,12 +42,13 @@ def check_summary(
     targets: DataFrame, findings: DataFrame, key: str, error: str = "error", message: str = "message_text",
     order: str = "id", code=ALLOCATION_ERROR,
 ) -> DataFrame:
-    """Per target: ok without findings, else failed with the first message that has the code, which may be none."""
-    found = findings.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_findings"),
-        F.min_by(message, F.when(F.col(error) == code, F.col(order))).alias("first_message"),
-    )
-    return targets.select(key).join(found, key, "left").select(
+    """Per target: ok without findings, else failed with the first message that has the code, which may be none.
+
+    Counting needs the key alone; texts are read only where the code is.
+    """
+    counted = findings.groupBy(key).agg(F.count(F.lit(1)).alias("n_findings"))
+    first = findings.filter(F.col(error) == code).groupBy(key).agg(F.min_by(message, order).alias("first_message"))
+    return targets.select(key).join(counted, key, "left").join(first, key, "left").select(
         key,
         F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
         F.when(F.col("n_findings").isNull(), "ok").otherwise("failed").alias("result"),

@@ -171,8 +171,9 @@ def nearest_each_side(
     scan = ordered(stacked, keys, [pos])
     scan = scan.by([pos, "_kind", "_label"]).add(last={"_before": seen})
     scan = scan.by([pos, "_back", "_label"], descending=True).add(last={"_after": seen})
-    before = F.when(F.col(pos) - F.col("_before")["at"] < limit, F.col("_before"))
-    after = F.when(F.col("_after")["at"] - F.col(pos) < limit, F.col("_after"))
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])  # As in a join, null meets nothing.
+    before = F.when(known & (F.col(pos) - F.col("_before")["at"] < limit), F.col("_before"))
+    after = F.when(known & (F.col("_after")["at"] - F.col(pos) < limit), F.col("_after"))
     return scan.rows().filter(F.col("_kind") == 0).select(
         *keys, pos, *[F.col("_probe")[c].alias(c) for c in others],
         before["label"].alias("before_label"), (F.col(pos) - before["at"]).alias("before_distance"),
