@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from rowkeeper.schemas import CATALOG
+
 MAX_INLINE_ROWS = 10_000
 
 
@@ -42,12 +44,30 @@ def catalog_columns(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFr
     return spark.createDataFrame(rows, "table_name string, column_name string, type_name string, ordinal bigint")
 
 
+def session_catalog(spark: SparkSession, server_name: str) -> DataFrame:
+    """Columns of all tables and views of all databases of the session's catalog; reads schemas only."""
+    rows = []
+    for database in spark.catalog.listDatabases():
+        for table in spark.catalog.listTables(database.name):
+            db_name = table.namespace[-1] if table.namespace else database.name
+            kind = "VIEW" if table.isTemporary or table.tableType == "VIEW" else "USER_TABLE"
+            name = table.name if table.isTemporary else f"{db_name}.{table.name}"
+            rows += [
+                (server_name, db_name, kind, name, field.name, field.dataType.simpleString())
+                for field in spark.table(name).schema.fields
+            ]
+    return spark.createDataFrame(rows, CATALOG).distinct()
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under a root. The content column is never selected, so no file is read."""
+    """Every file under a root, but for empty ones, which Spark's readers leave out.
+
+    The content column is never selected, so no file is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select(
         F.lit(root).alias("root"),
-        F.col("path").alias("full_name"),
+        F.regexp_replace("path", "^file:", "").alias("full_name"),
         F.col("modificationTime").alias("last_write_time"),
         F.col("length").alias("size_bytes"),
     )

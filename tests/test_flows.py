@@ -131,3 +131,46 @@ def test_archive_over_three_runs(spark):
     assert sorted((r.server_name, r.backup_set_id) for r in twice.collect()) == [
         ("s1", 2), ("s1", 2), ("s1", 3), ("s2", 2)
     ]
+
+
+def test_personal_data_in_the_session_catalog(spark):
+    rows = [("x", True, "m")]
+    spark.createDataFrame(rows, "FirstName string, has_email boolean, Gender string").createOrReplaceTempView("people")
+    spark.createDataFrame(rows, "firstName string, active boolean, other string").createOrReplaceTempView("log")
+    catalog = readers.session_catalog(spark, "local")
+    found = fleet.pii_columns(
+        catalog, schemas.PII_NAME_PATTERNS, AS_OF, exclude_databases=schemas.SYSTEM_DATABASES, exclude_types=["boolean"]
+    ).filter("object_name in ('people', 'log')")
+    assert {(r.object_name, r.column_name) for r in found.collect()} == {
+        ("people", "FirstName"), ("people", "Gender"), ("log", "firstName")
+    }
+    for view in ("people", "log"):
+        spark.catalog.dropTempView(view)
+
+
+def test_housekeeping_round(spark, tmp_path):
+    """List files, match them with history by path, choose the ones to delete and log what happened."""
+    from rowkeeper.operators.joins import inventory_match
+    from rowkeeper.operators.windows import retention_candidates
+
+    kinds = ["D", "L", "D", "I", "D", "L"]
+    (tmp_path / "sub").mkdir()
+    for i, kind in enumerate(kinds):
+        (tmp_path / "sub" / f"Set{i}{kind}.bak").write_text("x" * (i + 1))
+    (tmp_path / "stray.txt").write_text("no history")
+    files = readers.file_inventory(spark, str(tmp_path))
+    assert files.count() == 7
+    history = spark.createDataFrame(
+        [("s", "db", i, kind, at(i + 1), f"{tmp_path}/SUB/set{i}{kind}.BAK") for i, kind in enumerate(kinds)],
+        "server_name string, database_name string, id int, dbtype string, backup_finish_date timestamp_ntz, full_name string",
+    )
+    matched = inventory_match(files, history, "full_name")
+    assert matched.count() == 6
+    due = retention_candidates(
+        matched, ["server_name", "database_name"], "backup_finish_date", "id", "dbtype", "D", ["D", "I", "L"], keep=1
+    )
+    results = spark.createDataFrame([(0, "access denied")], "id int, error_message string")
+    log = fleet.delete_outcomes(due, results, "id", schemas.FILE_DELETED, AS_OF).collect()
+    assert {(r.id, r.row_num, r.full_sets, r.delete_status, r.time_stamp) for r in log} == {
+        (2, 2, 2, 7, AS_OF), (1, 2, 2, 7, AS_OF), (0, 3, 3, 2, AS_OF)
+    }
