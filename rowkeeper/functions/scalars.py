@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowkeeper.schemas import FILE_DATE, LOG_TIME
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -44,7 +46,7 @@ def plus(ts: Column, days: int = 0, months: int = 0, years: int = 0) -> Column:
 
 def stamp(ts: Column) -> Column:
     """Text form used in logs."""
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(ts, LOG_TIME)
 
 
 def scalar_text(df: DataFrame, col: str) -> DataFrame:
@@ -71,7 +73,7 @@ def scalar_dates(df: DataFrame, ts: str) -> DataFrame:
         "month_back": plus(t, months=-1),
         "years_back": plus(t, years=-2),
         "stamp": stamp(t),
-        "file_stamp": F.date_format(t, "ddMMyyyy"),
+        "file_stamp": F.date_format(t, FILE_DATE),
     })
 
 

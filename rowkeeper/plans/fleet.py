@@ -16,7 +16,7 @@ from rowkeeper.operators.ordering import sample_per_source
 from rowkeeper.operators.reshape import membership_diff, nested_explode_report, unpivot_columns
 from rowkeeper.plans.skew import skew_join
 from rowkeeper.schemas import (
-    ACTION_FAILED, ARCHIVE_YEARS, CAPPED_ACTIONS, DEPLOY_CONFIG, MAX_COPY_MB,
+    ACTION_FAILED, ARCHIVE_YEARS, CAPPED_ACTIONS, DEPLOY_CONFIG, DRY_RUN_LINE, MAX_COPY_MB,
 )
 from rowkeeper.sources.readers import collect_union, file_inventory, json_flatten
 from rowkeeper.sources.writers import csv_export, replace_table, staged_insert
@@ -214,10 +214,7 @@ def deploy_plan(
     else:
         rows = rows.join(sizes, ["ServerName", "Name"], "left")
     checked = validate_plan(rows, "Action", allowed, "size_mb", cap, CAPPED_ACTIONS)
-    line = F.format_string(
-        "-Action %s -SourceServer %s -TargetServer %s -Database %s -NewDBName %s",
-        "Action", "ServerName", "TargetServer", "Name", "NewName",
-    )
+    line = F.format_string(DRY_RUN_LINE, "Action", "ServerName", "TargetServer", "Name", "NewName")
     return checked.withColumn("command_line", line)
 
 

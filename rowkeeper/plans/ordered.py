@@ -144,7 +144,7 @@ class Ordered:
         every = Window.partitionBy(*self.keys)
         along = every.orderBy(F.desc(SLICE) if self.descending else F.asc(SLICE))
         before = along.rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(self.keys)] + [F.col(SLICE).alias("_at")]
+        carried = [F.col(k).alias(f"_c_key_{i}") for i, k in enumerate(self.keys)] + [F.col(SLICE).alias("_c_slice")]
         if position:
             carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_position"))
         if total:
@@ -167,12 +167,13 @@ class Ordered:
         that is not null up to the row.
         """
         sums, previous, last = sums or {}, previous or {}, last or {}
-        df, group = self.df, list(self.keys)
+        df, group, carried_columns = self.df, list(self.keys), []
         if self.sliced:
             group.append(SLICE)
             carry = self._carry(position, total, sums, previous, last)
-            match = [df[k].eqNullSafe(carry[f"_key_{i}"]) for i, k in enumerate(self.keys)]
-            match.append(df[SLICE] == carry["_at"])
+            carried_columns = carry.columns
+            match = [df[k].eqNullSafe(carry[f"_c_key_{i}"]) for i, k in enumerate(self.keys)]
+            match.append(df[SLICE] == carry["_c_slice"])
             # One row per slice of a hot key, at most MAX_SLICES + MAX_HOT_KEYS.
             df = df.join(F.broadcast(carry), reduce(lambda a, b: a & b, match), "left")
 
@@ -203,8 +204,7 @@ class Ordered:
             here = F.last(e, True).over(running)
             added[name] = F.coalesce(here, F.col(f"_c_last_{name}")) if self.sliced else here
 
-        helpers = [c for c in df.columns if c.startswith("_c_") or c.startswith("_key_") or c == "_at"]
-        return replace(self, df=df.withColumns(added).drop(*helpers))
+        return replace(self, df=df.withColumns(added).drop(*carried_columns))
 
     def rows(self) -> DataFrame:
         return self.df.drop(SLICE)

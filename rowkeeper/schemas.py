@@ -76,6 +76,9 @@ ARCHIVE_YEARS = 2
 MAX_COPY_MB = 35_000
 DEPLOY_ACTIONS = ["DetachAttach", "BackupRestore"]
 CAPPED_ACTIONS = ["BackupRestore"]
+DRY_RUN_LINE = "-Action %s -SourceServer %s -TargetServer %s -Database %s -NewDBName %s"
+LOG_TIME = "yyyy-MM-dd HH:mm:ss"
+FILE_DATE = "ddMMyyyy"
 PII_NAME_PATTERNS = [
     "%mail%", "%first%name%", "%last%name%", "%birth%", "%sex%", "%address%", "%phone%", "%ssn%", "%postcode%",
     "%gender%",

@@ -331,3 +331,43 @@ def test_incremental_read_reaches_the_scan(spark):
     plan = filters.recent_rows(events, "ts", 10, AS_OF).select("event_id")._jdf.queryExecution().executedPlan()
     text = plan.toString()
     assert "GreaterThan(ts,2024-01-21T00:00)" in text and "value" not in text.split("ReadSchema")[1]
+
+
+def test_inline_rows_of_all_kinds(spark):
+    assert readers.inline_rows(spark, [], "a string, n int").count() == 0
+    rows = [("x", None, 1.5, True, ts(AS_OF), [1, 2]), (None, 2, None, None, None, None)]
+    df = readers.inline_rows(spark, rows, "a string, n bigint, f double, b boolean, t timestamp_ntz, l array<int>")
+    assert [tuple(r) for r in df.collect()] == rows
+
+
+def test_custom_order_without_reference_keeps_the_tie_order(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 3), ("c", 1)], "v string, i int")
+    assert [r.v for r in ordering.custom_order(df, "v", [], ["i"]).orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_empty_inputs(spark):
+    from rowkeeper.operators import joins, windows
+    from rowkeeper.plans.concordance import concordance_counts
+
+    none = spark.createDataFrame([], "k string, i int, v int")
+    assert windows.run_changes(none, ["k"], ["i"], "v", 0).count() == 0
+    assert windows.circular_sum(none, ["k"], ["i"], "v", 2).count() == 0
+    assert windows.coverage_rank(none, "v").count() == 0
+    assert concordance_counts(none, ["k"], ["i"], "v").count() == 0
+    assert joins.interval_overlap(none, none, "i", "v", ["k"]).count() == 0
+    assert aggregates.common_multiset(none, "k", "v").count() == 0
+    assert aggregates.covered_length(spark.createDataFrame([], "w string"), "w", "a").first().covered_length == 0
+    assert {r.is_sorted for r in aggregates.sortedness_check(none, ["k"], ["i"], ["v"]).collect()} == {True}
+
+
+def test_nulls_in_values(spark):
+    from rowkeeper.operators import windows
+
+    rows = [("u", 0, None), ("u", 1, None), ("u", 2, 5), ("u", 3, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    assert windows.run_changes(df, ["k"], ["i"], "v", 0).first().n_changes == 3  # 0, null, null, 5, null
+    found = aggregates.sortedness_check(df, ["k"], ["i"], ["v"]).first()
+    assert found.is_sorted
+    assert [r.circular for r in windows.circular_sum(df, ["k"], ["i"], "v", 1).orderBy("i").collect()] == [
+        None, 5, None, None
+    ]
