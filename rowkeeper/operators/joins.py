@@ -100,14 +100,20 @@ def interval_overlap(a: DataFrame, b: DataFrame, start: str, end: str, keys: lis
     by_end = ordered(ends.unionByName(starts, allowMissingColumns=True), keys, ["_pos"]).by(["_pos", "_kind"])
     probes = by_end.add(sums=counted).rows().filter(F.col("_kind") == 1)
 
-    def met(side: str, other: str) -> DataFrame:
-        own = probes.filter(F.col("_side") == side).select(
-            *keys, f"_{side}", (F.col(f"_rank_{other}") + 1).alias("_first"), F.col(f"_last_{other}").alias("_last")
-        )
-        held = placed.filter(F.col("_side") == other).select(*keys, F.col(f"_rank_{other}").alias("_rank"), f"_{other}")
-        return spread_range(own, "_first", "_last", "_rank").join(held, [*keys, "_rank"], "inner")
+    def of_side(x: Column, y: Column) -> Column:
+        return F.when(F.col("_side") == "a", x).otherwise(y)
 
-    pairs = met("a", "b").unionByName(met("b", "a"))
+    own = probes.select(
+        *keys, "_a", "_b", of_side(F.lit("b"), F.lit("a")).alias("_meets"),
+        (of_side(F.col("_rank_b"), F.col("_rank_a")) + 1).alias("_first"),
+        of_side(F.col("_last_b"), F.col("_last_a")).alias("_last"),
+    )
+    held = placed.select(
+        *keys, F.col("_side").alias("_meets"), of_side(F.col("_rank_a"), F.col("_rank_b")).alias("_rank"),
+        F.col("_a").alias("_held_a"), F.col("_b").alias("_held_b"),
+    )
+    met = spread_range(own, "_first", "_last", "_rank").join(held, [*keys, "_meets", "_rank"], "inner")
+    pairs = met.withColumns({"_a": F.coalesce("_a", "_held_a"), "_b": F.coalesce("_b", "_held_b")})
     columns = [F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in sides for c in others[s]]
     bounds = [
         F.greatest(F.col("_a")[start], F.col("_b")[start]).alias("overlap_start"),
