@@ -4,6 +4,7 @@ import pytest
 from oracle import connect, differences
 
 import __spark_entry__ as contract
+from rowkeeper import checks
 
 SMALL = "/root/testdata/sf0.001"
 USUAL = "/root/testdata/sf0.01"
@@ -23,10 +24,11 @@ def connections():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(checks.QUERIES) - set(checks.ORACLE) == WITHOUT_SQL
+    assert set(checks.QUERIES) <= set(contract.queries()) and set(checks.ORACLE) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(checks.ORACLE))
 def test_query_agrees_with_sql(spark, connections, name):
     df = contract.queries()[name](spark, USUAL)
     assert differences(df, connections[USUAL], contract.oracle_sql()[name]) is None
