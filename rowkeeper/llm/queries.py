@@ -122,3 +122,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from rowkeeper.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.jaccard import similarity_components
+
+    return similarity_components(table(spark, folder, "documents"), width=4, percent=85)
