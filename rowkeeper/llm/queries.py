@@ -129,3 +129,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from rowkeeper.llm.jaccard import similarity_components
 
     return similarity_components(table(spark, folder, "documents"), width=4, percent=85)
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.substrings import remove_repeats
+
+    cut = remove_repeats(table(spark, folder, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
