@@ -137,3 +137,32 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     cut = remove_repeats(table(spark, folder, "documents"), window=50)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def language_model(spark: SparkSession, folder: str):
+    from rowkeeper.llm.language import fit_likelihoods
+
+    labelled = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return fit_likelihoods(labelled, per_language=500)
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents come from a source, which is their host; nothing declares their language."""
+    from rowkeeper.llm.language import language_scores
+
+    docs = table(spark, folder, "documents")
+    return language_scores(docs, language_model(spark, folder), ["doc_id"], F.col("text"), host=F.col("source"))
+
+
+@query("page_language_id")
+def page_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages have all the evidence: text, declared language, address suffix, host and site."""
+    from rowkeeper.llm.language import language_scores, page_host, page_language, page_text
+
+    pages = table(spark, folder, "pages")
+    html = F.col("html")
+    return language_scores(
+        pages, language_model(spark, folder), ["page_id"], page_text(html), host=page_host(F.col("url")),
+        declared=page_language(html),
+    )
