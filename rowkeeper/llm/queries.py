@@ -166,3 +166,10 @@ def page_language_id(spark: SparkSession, folder: str) -> DataFrame:
         pages, language_model(spark, folder), ["page_id"], page_text(html), host=page_host(F.col("url")),
         declared=page_language(html),
     )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
