@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeeper.llm.common import WordHashes, rows_of, window_hashes
@@ -361,3 +361,24 @@ def similarity_components(
         F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).cast("bigint").alias("component_id"),
     )
+
+
+def one_of_each_component(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents without their near copies: of each component the one with the smallest id, all columns as they came.
+
+    Rows with the same id are one document; of them the one whose text has the smallest hash stays. Documents without words have no
+    near copies and stay, and so do rows without an id.
+    """
+    found = similarity_components(docs, width, percent, id_col, text_col)
+    kept = written(
+        found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.col("doc_id").alias("_kept"), "rows"), "kept",
+    )
+    own = F.col(id_col).cast("bigint") == F.col("_kept")
+    single = docs.join(kept.filter("rows = 1"), own, "left_semi")
+    order = Window.partitionBy(F.col("row")[id_col]).orderBy(F.xxhash64(F.col("row")[text_col]))
+    repeated = docs.join(kept.filter("rows > 1"), own, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    chosen = repeated.withColumn("at", F.row_number().over(order)).filter("at = 1").select("row.*")
+    return single.unionByName(chosen).unionByName(docs.filter(F.col(id_col).isNull()))
