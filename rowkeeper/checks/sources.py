@@ -169,6 +169,20 @@ def replace_table(t):
     return t.spark.read.schema(t.supplier.schema).parquet(path)
 
 
+@check("replace_in_place", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders
+WHERE o_orderdate >= DATE '1995-01-01'
+""")
+def replace_in_place(t):
+    """A table is purged and then updated, each time from its own rows and at its own place."""
+    path = workspace(t.spark, "in_place")
+    writers.replace_table(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"), path)
+    writers.replace_table(t.spark.read.parquet(path).filter("o_orderdate >= DATE '1995-01-01'"), path)
+    price = F.when(F.col("o_orderstatus") == "O", F.lit(0.0)).otherwise(F.col("o_totalprice")).alias("o_totalprice")
+    writers.replace_table(t.spark.read.parquet(path).select("o_orderkey", "o_custkey", price), path)
+    return t.spark.read.parquet(path)
+
+
 @check("staged_insert", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def staged_insert(t):
     path = workspace(t.spark, "staged")

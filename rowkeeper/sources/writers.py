@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -16,9 +17,15 @@ def replace_table(df: DataFrame, path: str, partition: str | None = None) -> Non
 
     Rows are rebalanced by the partition column: a hot partition is spread over
     several writers and small ones share a writer.
+
+    The frame may read the table that it replaces. The whole table is written beside the old one, which gives way only when
+    all rows are there; a write that breaks leaves the old rows. Partitions are staged by Spark in the same way.
     """
     if partition is None:
-        df.write.mode("overwrite").parquet(path)
+        mark = uuid.uuid4().hex
+        new, old = (f"{path.rstrip('/')}.{kind}-{mark}" for kind in ("new", "old"))
+        df.write.parquet(new)
+        _switch(df.sparkSession, path, new, old)
         return
     (
         df.hint("rebalance", partition)
@@ -29,6 +36,22 @@ def replace_table(df: DataFrame, path: str, partition: str | None = None) -> Non
     )
 
 
+def _switch(spark: SparkSession, path: str, new: str, old: str) -> None:
+    """Put the new folder in the place of the one at ``path``; the old one comes back if that fails."""
+    at, to, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = files.exists(at)
+    if held and not files.rename(at, aside):
+        raise OSError(f"cannot set aside {path}; the new rows are in {new}")
+    if not files.rename(to, at):
+        if held:
+            files.rename(aside, at)
+        raise OSError(f"cannot move {new} to {path}")
+    if held:
+        files.delete(aside, True)
+    spark.catalog.refreshByPath(path)
+
+
 def staged_insert(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:
     """Staged rows that the target does not hold yet, one per natural key.
 
@@ -54,10 +77,10 @@ def fixed_width(c: Column, width: int) -> Column:
 def delimited_lines(
     df: DataFrame, cols: list[str], sep: str = " ;", body: str | None = None, width: int = 40
 ) -> DataFrame:
-    """One text line per record; the body column comes last in a fixed width."""
-    parts = [F.col(c).cast("string") for c in cols]
+    """One text line per record; the body column comes last in a fixed width. A null is an empty field in its place."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     if body is not None:
-        parts.append(fixed_width(F.col(body), width))
+        parts.append(fixed_width(F.coalesce(F.col(body), F.lit("")), width))
     return df.select(F.concat_ws(sep, *parts).alias("line"))
 
 

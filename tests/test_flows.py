@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowkeeper import schemas
@@ -108,6 +109,37 @@ def test_config_sync_of_all_targets_at_once(spark):
     assert maintenance.target_copy(spark, path, "server_name", "s2").first().key_value == "7"
 
 
+def test_replace_from_its_own_rows(spark):
+    path = workspace(spark, "own")
+    writers.replace_table(spark.range(100), path)
+    writers.replace_table(spark.read.parquet(path).filter("id >= 40"), path)
+    writers.replace_table(spark.read.parquet(path).filter("id < 90"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(40, 90))
+
+
+def test_replace_that_breaks_keeps_the_old_rows(spark):
+    path = workspace(spark, "broken")
+    writers.replace_table(spark.range(100), path)
+    held = spark.read.parquet(path)
+    broken = held.select(F.when(F.col("id") == 77, F.raise_error(F.lit("half way"))).otherwise(F.col("id")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="half way"):
+        writers.replace_table(broken, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
+
+
+def test_partitions_replaced_from_their_own_rows(spark):
+    path = workspace(spark, "own_parts")
+    writers.replace_table(spark.range(60).withColumn("p", F.col("id") % 3), path, "p")
+    writers.replace_table(spark.read.parquet(path).filter("p = 1 AND id < 30"), path, "p")
+    counts = {r.p: r["count"] for r in spark.read.parquet(path).groupBy("p").count().collect()}
+    assert counts == {0: 20, 1: 10, 2: 20}
+
+
+def test_null_fields_keep_their_place(spark):
+    df = spark.createDataFrame([("a", None, "c", None)], "x string, y int, z string, body string")
+    assert [r.line for r in writers.delimited_lines(df, ["x", "y", "z"], body="body").collect()] == ["a ; ;c ;" + " " * 40]
+
+
 def test_archive_over_three_runs(spark):
     """Collect, collect again, and collect after everything of one server has aged out."""
     def sets(rows):
