@@ -294,6 +294,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(build, "rep bigint, shingles binary")
 
 
+def merged(found: DataFrame, tops: DataFrame) -> DataFrame:
+    """Components of ids whose components have been joined further: ``tops`` has the new component of each old one."""
+    renamed = tops.select(F.col("id").alias("old"), F.col("component").alias("new"))
+    below = found.join(renamed, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+    # Ids that round one left alone are their own component there.
+    alone = tops.join(found.select("id"), "id", "left_anti")
+    return below.unionByName(alone)
+
+
 def similarity_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
     frequent: int = FREQUENT,
@@ -349,9 +358,14 @@ def similarity_components(
     )
     more = written(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     more_links = verified(more, sets, percent)
-    # What round one has joined is kept as one link per document.
-    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more_links)
-    final = connected(joined)
+    # What round one has joined is one node from here on; mostly nothing is left to join.
+    tops = found.select(F.col("id").alias("a"), F.col("component").alias("top_a"))
+    others = found.select(F.col("id").alias("b"), F.col("component").alias("top_b"))
+    bridges = written(
+        more_links.join(tops, "a", "left").join(others, "b", "left")
+        .select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b")).distinct(), "bridges",
+    )
+    final = found if bridges.isEmpty() else merged(found, connected(bridges))
 
     by_set = members.join(final, F.col("rep") == F.col("id"), "left").select(
         "set_id", F.coalesce("component", "rep").alias("component")
