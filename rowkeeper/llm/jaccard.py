@@ -5,10 +5,14 @@ elements that both follow. Rare elements come first here, so few documents share
 sets with the same prefix and size are one group, and only groups meet in the lists of an element. Group pairs
 are tested by size and position, then their members are compared in full.
 
-Only components are asked for, so a list need not give all its pairs. Round one compares each group with its neighbours in the
-list and with the first of its size class: a number of pairs in proportion to the list. Round two takes the lists that still
-hold several components and compares every pair of different components that no earlier test excludes. What round
-two skips is connected already; so no component is missed, and a large group of copies gives no square of pairs.
+A set also has a parity bitmap: each element flips one of 512 bits. Two bitmaps differ in at most as many bits as
+the sets in elements, so too many different bits exclude a pair before its sets are read.
+
+Only components are asked for, so a list need not give all its pairs. Round one compares each group with the likeliest of the
+groups before it in the list, by their bitmaps, and with the first of its size class: a number of pairs in proportion to the
+list. Round two takes the lists that still hold several components and compares every pair of different components that no
+earlier test excludes. What round two skips is connected already; so no component is missed, and a large group of copies gives
+no square of pairs.
 """
 
 from __future__ import annotations
@@ -28,10 +32,13 @@ PERCENT = 85
 FREQUENT = 100_000  # shingles that are put last; a bound on the list, which only decides the order
 COUNTED_AT_ONCE = 2_000_000  # shingles that a task counts together
 LEAST_REPEATS = 3  # in those, to be reported as frequent
-NEIGHBOURS = 3
+NEIGHBOURS = 3  # likely partners that round one tries for each row of a list
+REACH = 256  # rows before it in the list, among which they are found
+BITS = 512  # of a parity bitmap
 CLASSES_PER_DOUBLING = 4  # size classes, whose first member all others in the list are compared with
 PAIRS_AT_ONCE = 500_000
 
+DESCRIBED = "id bigint, n int, set_id binary, prefix binary, prefix_key binary, bits binary"
 LISTED = "token bigint, gid bigint, n int, pos int"
 
 
@@ -110,13 +117,18 @@ def frequent_shingles(docs: DataFrame, width: int, most: int) -> np.ndarray:
     return rows["token"].to_numpy(np.int64).view(np.uint64)
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """A bitmap in which each element has flipped one bit."""
+    return np.packbits(np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def described(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """Per row: id, number of shingles, hash of the set, and the prefix with a hash of it."""
+    """Per row: id, number of shingles, hash of the set, the prefix with a hash of it, and the bitmap."""
 
     def describe(batches):
         shingles, order = Shingler(width), Order(frequent.value)
         for ids, texts in rows_of(batches, "id", "text"):
-            sizes, sets, prefixes, keys = [], [], [], []
+            sizes, sets, prefixes, keys, bits = [], [], [], [], []
             for text in texts:
                 found = shingles(text)
                 n = len(found)
@@ -125,15 +137,16 @@ def described(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
                 prefixes.append(prefix.tobytes())
                 keys.append(xxhash.xxh3_128_digest(prefix.tobytes()))
+                bits.append(parity_bits(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()),
-                    pa.array(prefixes, pa.binary()), pa.array(keys, pa.binary()),
+                    pa.array(prefixes, pa.binary()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()),
                 ],
-                ["id", "n", "set_id", "prefix", "prefix_key"],
+                ["id", "n", "set_id", "prefix", "prefix_key", "bits"],
             )
 
-    return docs.mapInArrow(describe, "id bigint, n int, set_id binary, prefix binary, prefix_key binary")
+    return docs.mapInArrow(describe, DESCRIBED)
 
 
 def listed(groups: DataFrame) -> DataFrame:
@@ -185,45 +198,74 @@ def may_match(a_n, a_pos, b_n, b_pos, percent: int):
     return (100 * small >= percent * large) & (rest >= least_overlap(small + large, percent))
 
 
+def bitmaps_of(column: pa.Array) -> np.ndarray:
+    """A row of 64-bit numbers per bitmap."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps differ: no more than the sets in elements."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def most_different(a_n, b_n, percent: int):
+    """Elements that one of two similar sets may have without the other."""
+    return a_n + b_n - 2 * least_overlap(a_n + b_n, percent)
+
+
 def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 def neighbour_pairs(percent: int):
-    """Pairs of each row with the rows just before it and with the first row of its size class in its list.
+    """Pairs of each row with the likeliest of the REACH rows before it and with the first row of its size class in its list.
 
-    Rows come sorted by token, size and group; a few rows are carried from batch to batch.
+    Rows come sorted by token, size and a hash; a few rows are carried from batch to batch.
     """
 
     def pairs(batches):
-        carried = None  # rows of the list that is still open: the heads of its class and its latest rows
+        carried = None  # rows of the list that is still open: the head of its class and its latest rows
         for batch in batches:
             now = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
             fresh = len(now)
             if not fresh:
                 continue
-            rows = now if carried is None else np.concatenate([carried, now])
-            old = len(rows) - fresh
-            token, gid, n, pos = rows.T
-            first, second = [], []
-            for step in range(1, NEIGHBOURS + 1):
-                a, b = np.arange(0, len(rows) - step), np.arange(step, len(rows))
-                ok = (b >= old) & (token[a] == token[b])
-                first.append(a[ok])
-                second.append(b[ok])
+            bits = bitmaps_of(batch.column(4))
+            if carried is not None:
+                now, bits = np.concatenate([carried[0], now]), np.concatenate([carried[1], bits])
+            old = len(now) - fresh
+            token, gid, n, pos = now.T
+
+            def distance(a, b):
+                """Bits between the rows, out of reach where the pair is excluded."""
+                apart = differing(bits[a], bits[b])
+                ok = may_match(n[a], pos[a], n[b], pos[b], percent) & (apart <= most_different(n[a], n[b], percent))
+                return np.where(ok & (gid[a] != gid[b]), apart, BITS + 1)
+
+            best = np.full((len(now), NEIGHBOURS), BITS + 1)
+            partner = np.zeros((len(now), NEIGHBOURS), np.int64)
+            at = np.arange(old, len(now))
+            for step in range(1, REACH + 1):
+                at = at[at >= step]
+                at = at[token[at] == token[at - step]]
+                if not len(at):
+                    break
+                apart = distance(at - step, at)
+                worst = best[at].argmax(axis=1)
+                closer = apart < best[at, worst]
+                best[at[closer], worst[closer]], partner[at[closer], worst[closer]] = apart[closer], at[closer] - step
+            second, column = np.nonzero(best <= BITS)
+            first = partner[second, column]
             classes = size_class(n)
             opens = np.concatenate([[True], (token[1:] != token[:-1]) | (classes[1:] != classes[:-1])])
-            head = np.maximum.accumulate(np.where(opens, np.arange(len(rows)), 0))
-            at = np.arange(old, len(rows))
+            head = np.maximum.accumulate(np.where(opens, np.arange(len(now)), 0))
+            at = np.arange(old, len(now))
             at = at[head[at] < at]
-            first.append(head[at])
-            second.append(at)
-            a, b = np.concatenate(first), np.concatenate(second)
-            ok = may_match(n[a], pos[a], n[b], pos[b], percent) & (gid[a] != gid[b])
-            yield pair_batch(gid[a[ok]], gid[b[ok]])
-            keep = sorted({int(head[-1]), *range(max(0, len(rows) - NEIGHBOURS), len(rows))})
-            carried = rows[keep]
+            at = at[distance(head[at], at) <= BITS]
+            yield pair_batch(gid[np.concatenate([first, head[at]])], gid[np.concatenate([second, at])])
+            keep = sorted({int(head[-1]), *range(max(0, len(now) - REACH), len(now))})
+            carried = now[keep], bits[keep]
 
     return pairs
 
@@ -232,32 +274,37 @@ def crossing_pairs(percent: int):
     """All pairs of one list in different components that may match; rows come sorted by token and size."""
 
     def pairs(batches):
-        open_token, held = None, None
+        open_token, held, held_bits = None, None, None
         first, second, waiting = [], [], 0
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], axis=1)
+            bitmaps = bitmaps_of(batch.column(5))
             starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else []
             for start, end in zip(starts, [*starts[1:], len(rows)]):
-                own = rows[start:end]
+                own, own_bits = rows[start:end], bitmaps[start:end]
                 if own[0, 0] == open_token:
-                    before = held
+                    before, before_bits = held, held_bits
                 else:
-                    open_token, before = own[0, 0], own[:0]
-                every = np.concatenate([before, own])
+                    open_token, before, before_bits = own[0, 0], own[:0], own_bits[:0]
+                every, bits = np.concatenate([before, own]), np.concatenate([before_bits, own_bits])
                 for at in range(len(before), len(every)):
                     here = every[at]
                     reach = np.searchsorted(every[:at, 2], -(-percent * here[2] // 100))
                     others = every[reach:at]
                     ok = (others[:, 4] != here[4]) & may_match(others[:, 2], others[:, 3], here[2], here[3], percent)
-                    if ok.any():
-                        first.append(others[ok, 1])
-                        second.append(np.full(int(ok.sum()), here[1]))
-                        waiting += int(ok.sum())
+                    left = np.flatnonzero(ok)
+                    apart = differing(bits[reach:at][left], bits[at])
+                    left = left[apart <= most_different(others[left, 2], here[2], percent)]
+                    if len(left):
+                        first.append(others[left, 1])
+                        second.append(np.full(len(left), here[1]))
+                        waiting += len(left)
                     if waiting >= PAIRS_AT_ONCE:
                         yield pair_batch(np.concatenate(first), np.concatenate(second))
                         first, second, waiting = [], [], 0
                 # Smaller rows than these cannot match what follows in the list.
-                held = every[np.searchsorted(every[:, 2], -(-percent * every[-1, 2] // 100)) :]
+                rest = np.searchsorted(every[:, 2], -(-percent * every[-1, 2] // 100))
+                held, held_bits = every[rest:], bits[rest:]
         if first:
             yield pair_batch(np.concatenate(first), np.concatenate(second))
 
@@ -324,15 +371,20 @@ def similarity_components(
     usable = rows.filter(F.col("id").isNotNull() & (F.col("n") > 0))
 
     # One id stands for all rows with the same set, and one for all sets with the same prefix and size.
-    reps = usable.groupBy("set_id").agg(F.min("id").alias("rep"), F.min("prefix_key").alias("prefix_key"), F.min("n").alias("n"))
+    reps = usable.groupBy("set_id").agg(
+        F.min("id").alias("rep"), F.min("prefix_key").alias("prefix_key"), F.min("n").alias("n"), F.min("bits").alias("bits")
+    )
     groups = usable.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"), F.min("prefix").alias("prefix"))
     lists = written(
         listed(groups).repartition("token").sortWithinPartitions("token").mapInArrow(shared_rows, LISTED), "lists"
     )
     gids = usable.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"))
-    members = written(reps.join(gids, ["prefix_key", "n"]).select("set_id", "rep", "gid", "n"), "members")
+    members = written(reps.join(gids, ["prefix_key", "n"]).select("set_id", "rep", "gid", "n", "bits"), "members")
 
-    near = lists.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(neighbour_pairs(percent), "a bigint, b bigint")
+    # A group is compared by the set of its first id.
+    mapped = lists.join(members.filter("rep = gid").select("gid", "bits"), "gid").select("token", "gid", "n", "pos", "bits")
+    in_lists = mapped.repartition("token").sortWithinPartitions("token", "n", F.xxhash64("gid", "token"))
+    near = in_lists.mapInArrow(neighbour_pairs(percent), "a bigint, b bigint")
     within = members.filter(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     tried = written(near.unionByName(within).distinct(), "tried")
 
@@ -352,7 +404,9 @@ def similarity_components(
     )
     placed = written(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_lists = placed.join(mixed.select("token"), "token", "left_semi")
+    open_lists = placed.join(mixed.select("token"), "token", "left_semi").join(members.select("rep", "bits"), "rep").select(
+        "token", "rep", "n", "pos", "component", "bits"
+    )
     crossing = open_lists.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(
         crossing_pairs(percent), "a bigint, b bigint"
     )
