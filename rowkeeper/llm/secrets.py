@@ -1,8 +1,8 @@
 """Secret scan: known forms of secrets, and random strings found by their token efficiency.
 
-Vocabularies are made from written language, so words take few tokens and random strings many. A run of characters that gives
-less than MOST_CHARS_PER_TOKEN characters per token is reported, unless it looks like something public: a digest of a usual
-length, a UUID, a number, or an identifier made of words.
+Vocabularies are made from written language, so words take few tokens and random strings many. Every run of characters that gives
+at most MOST_CHARS_PER_TOKEN characters per token is reported, unless it is something public: a digest of a usual
+length, a UUID, a run without letters, or a name whose parts are cheap in tokens once its separators are left out.
 """
 
 from __future__ import annotations
@@ -67,17 +67,20 @@ class Scanner:
     known: frozenset[str] = field(default_factory=frozenset)
 
     def public(self, run: str) -> bool:
-        """Known digests and identifiers."""
+        """Known strings, digests, UUIDs, numbers and rules of dashes."""
         if run in self.known or _UUID.fullmatch(run):
             return True
         if _DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS:
             return True
-        has_digit, has_letter = any("0" <= c <= "9" for c in run), any(c.isalpha() for c in run)
-        if not (has_digit and has_letter):
-            return True  # Numbers, words, rules of dashes.
-        # Names like first_part_2 or firstPart2: long words on average.
+        return not any(c.isalpha() for c in run)
+
+    def inefficient(self, run: str) -> bool:
+        """Few characters per token, and not only because of the separators between the parts of a name."""
+        encode = vocabulary(self.path).encode_ordinary
+        if len(run) > self.most * len(encode(run)):
+            return False
         parts = [p for p in _SUBWORDS.findall(run) if p.isalnum()]
-        return sum(map(len, parts)) >= 4 * len(parts)
+        return sum(map(len, parts)) <= self.most * sum(len(encode(p)) for p in parts)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         found = [
@@ -88,15 +91,16 @@ class Scanner:
         return sorted(found)
 
     def random(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs with few characters per token; a run that a known form has found already is left out."""
+        """Runs with few characters per token; a run that known forms cover from end to end is left out."""
         found = []
-        encode = vocabulary(self.path).encode_ordinary
         for m in _RUN.finditer(text):
-            run = m.group()
-            if self.public(run) or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if len(run) <= self.most * len(encode(run)):
-                found.append((m.start(), 3, m.end()))
+            start, end = m.span()
+            at = start  # the first character that no known form covers; base is sorted by start
+            for a, _, b in base:
+                if a <= at < b:
+                    at = b
+            if at < end and not self.public(m.group()) and self.inefficient(m.group()):
+                found.append((start, 3, end))
         return found
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

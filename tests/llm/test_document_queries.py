@@ -155,6 +155,29 @@ def test_secret_scan(spark, folder, rows):
     assert "xQ9vZ2kLpW7sT4mB1nR8yHc5" in random_runs and not any("identifier" in x for x in random_runs)
 
 
+def test_random_strings_of_every_alphabet():
+    """Keys without digits, base32 keys, and keys that a known form covers in part; names, digests and rules are no secrets."""
+    from rowkeeper.llm.secrets import Scanner
+
+    scanner = Scanner(llm.vocabulary_file("byte_bpe_50k.tiktoken"))
+    draw = random.Random(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, n in [(lower + lower.upper(), 32), (lower.upper() + "234567", 20), (lower.upper() + "234567", 32), (lower + digits, 20)]:
+        keys = ["".join(draw.choices(alphabet, k=n)) for _ in range(500)]
+        lost = [k for k in keys if scanner.scan(f"see {k} there")[1] != [(4, 3, 4 + n)]]
+        # Letters a-f and digits may form a long hexadecimal run by chance; no more than a few keys are as short in tokens as words.
+        assert len(lost) <= 5, (alphabet, n, lost)
+    covered = "xQ9vZ2kLp0123456789abcdefW7sT4mB1nR8y"
+    assert scanner.redacted(f"a {covered} b", "*") == "a * b"
+    whole = "password=aB3dE5fG7hJ9kLmN2pQ4"  # covered from end to end: not listed twice
+    assert [k for _, k, _ in scanner.scan(whole)[1]] == [0]
+    for name in (
+        "one_long_identifier_name_2", "firstPartOfTheNameOfIt2", "internationalization", "use_it_for_an_id_of_the_row_2",
+        "=" * 40, "-" * 30, "20240131-1200-0000-000", "3F786850E387550FDAB836ED7E6DC881DE23001B", "123e4567-e89b-12d3-a456-426614174000",
+    ):
+        assert scanner.scan(f"see {name} there")[1] == [], name
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
