@@ -11,7 +11,8 @@ the sets in elements, so too many different bits exclude a pair before its sets
 Only components are asked for, so a list need not give all its pairs. Round one compares each group with the likeliest of the
 groups before it in the list, by their bitmaps, and with the first of its size class: a number of pairs in proportion to the
 list. Round two takes the lists that still hold several components and compares every pair of different components that no
-earlier test excludes. What round two skips is connected already; so no component is missed, and a large group of copies gives
+earlier test excludes. A long list is cut into blocks there, by size and by a hash, and a task compares two blocks at a time; rows
+of one large component are blocks of their own, which are not compared with each other. What round two skips is connected already; so no component is missed, and a large group of copies gives
 no square of pairs.
 """
 
@@ -33,6 +34,7 @@ FREQUENT = 100_000  # shingles that are put last; a bound on the list, which onl
 COUNTED_AT_ONCE = 2_000_000  # shingles that a task counts together
 LEAST_REPEATS = 3  # in those, to be reported as frequent
 NEIGHBOURS = 3  # likely partners that round one tries for each row of a list
+BLOCK_ROWS = 4096  # rows of a list that one task compares in round two; longer lists are cut into blocks
 REACH = 256  # rows before it in the list, among which they are found
 BITS = 512  # of a parity bitmap
 CLASSES_PER_DOUBLING = 4  # size classes, whose first member all others in the list are compared with
@@ -270,6 +272,14 @@ def neighbour_pairs(percent: int):
     return pairs
 
 
+def partners(row, row_bits, others, bits, percent: int) -> np.ndarray:
+    """Which of the other rows (token, rep, n, pos, component) are of another component and may match the row."""
+    ok = (others[:, 4] != row[4]) & may_match(others[:, 2], others[:, 3], row[2], row[3], percent)
+    left = np.flatnonzero(ok)
+    apart = differing(bits[left], row_bits)
+    return left[apart <= most_different(others[left, 2], row[2], percent)]
+
+
 def crossing_pairs(percent: int):
     """All pairs of one list in different components that may match; rows come sorted by token and size."""
 
@@ -291,10 +301,7 @@ def crossing_pairs(percent: int):
                     here = every[at]
                     reach = np.searchsorted(every[:at, 2], -(-percent * here[2] // 100))
                     others = every[reach:at]
-                    ok = (others[:, 4] != here[4]) & may_match(others[:, 2], others[:, 3], here[2], here[3], percent)
-                    left = np.flatnonzero(ok)
-                    apart = differing(bits[reach:at][left], bits[at])
-                    left = left[apart <= most_different(others[left, 2], here[2], percent)]
+                    left = partners(here, bits[at], others, bits[reach:at], percent)
                     if len(left):
                         first.append(others[left, 1])
                         second.append(np.full(len(left), here[1]))
@@ -311,6 +318,92 @@ def crossing_pairs(percent: int):
     return pairs
 
 
+def cells(rows: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """The rows of long lists once per pair of blocks ``x``, ``y`` that they have to be compared in, as ``side`` 0 or 1.
+
+    A block holds about ``block_rows`` rows of a list and of one size class at most. Components with more than that in a class
+    have blocks to themselves, the others share theirs. A block is paired with itself and with each other block of its list once,
+    unless their sizes exclude a match or both are of one component.
+    """
+    own = ["token", "class", "big", "owner", "part"]
+    sized = rows.withColumn("class", F.floor(F.log2("n") * CLASSES_PER_DOUBLING).cast("int"))
+    counts = sized.groupBy("token", "class", "component").agg(F.count(F.lit(1)).alias("rows"))
+    parts = F.ceil(F.sum("rows") / block_rows)
+    large = counts.filter(F.col("rows") > block_rows).groupBy("token", "class", "component").agg(parts.alias("large_parts"))
+    small = counts.filter(F.col("rows") <= block_rows).groupBy("token", "class").agg(parts.alias("small_parts"))
+    blocked = sized.join(large, ["token", "class", "component"], "left").join(small, ["token", "class"], "left")
+    is_large = F.col("large_parts").isNotNull()
+    blocked = written(
+        blocked.select(
+            "token", "class", is_large.alias("big"), F.when(is_large, F.col("component")).otherwise(0).alias("owner"),
+            F.expr("pmod(xxhash64(rep, token), coalesce(large_parts, small_parts))").alias("part"),
+            "rep", "n", "pos", "component", "bits",
+        ), "blocked",
+    )
+    blocks = written(
+        blocked.groupBy(*own).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        .withColumn("block", F.monotonically_increasing_id()), "blocks",
+    )
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = x.join(
+        y, F.expr(
+            "x.token = y.token AND x.block <= y.block AND NOT (x.big AND y.big AND x.owner = y.owner) "
+            f"AND 100L * x.high >= {percent}L * y.low AND 100L * y.high >= {percent}L * x.low"
+        ),
+    )
+    first = met.select("x.token", *[f"x.{c}" for c in own[1:]], F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.lit(0).alias("side"))
+    second = met.filter("x.block < y.block").select(
+        "y.token", *[f"y.{c}" for c in own[1:]], F.col("x.block").alias("x"), F.col("y.block").alias("y"), F.lit(1).alias("side")
+    )
+    return blocked.join(first.unionByName(second), own).select("x", "y", "side", "rep", "n", "pos", "component", "bits")
+
+
+def cell_pairs(percent: int):
+    """The pairs of ``crossing_pairs`` in cells; rows come sorted by cell, side and size, and one cell is in memory at a time."""
+
+    def compared(rows, bits):
+        # Columns x, y, side, rep, n, pos, component; ``partners`` reads the last five.
+        if rows[0, 0] == rows[0, 1]:
+            a, a_bits, b, b_bits = rows, bits, rows, bits
+        else:
+            a, a_bits, b, b_bits = rows[rows[:, 2] == 0], bits[rows[:, 2] == 0], rows[rows[:, 2] == 1], bits[rows[:, 2] == 1]
+        alone = rows[0, 0] == rows[0, 1]
+        first, second, waiting = [], [], 0
+        for at in range(len(a)):
+            n = a[at, 4]
+            low = max(np.searchsorted(b[:, 4], -(-percent * n // 100)), at + 1 if alone else 0)
+            high = np.searchsorted(b[:, 4], 100 * n // percent, side="right")
+            left = partners(a[at, 2:], a_bits[at], b[low:high, 2:], b_bits[low:high], percent)
+            if len(left):
+                first.append(b[low:high][left, 3])
+                second.append(np.full(len(left), a[at, 3]))
+                waiting += len(left)
+            if waiting >= PAIRS_AT_ONCE:
+                yield pair_batch(np.concatenate(first), np.concatenate(second))
+                first, second, waiting = [], [], 0
+        if first:
+            yield pair_batch(np.concatenate(first), np.concatenate(second))
+
+    def pairs(batches):
+        held, held_bits = [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)], axis=1)
+            bits = bitmaps_of(batch.column(7))
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+            for start, end in zip(starts, [*starts[1:], len(rows)]):
+                if held and (held[-1][-1, :2] != rows[start, :2]).any():
+                    yield from compared(np.concatenate(held), np.concatenate(held_bits))
+                    held, held_bits = [], []
+                held.append(rows[start:end])
+                held_bits.append(bits[start:end])
+        if held:
+            yield from compared(np.concatenate(held), np.concatenate(held_bits))
+
+    return pairs
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose whole sets reach the threshold."""
 
@@ -352,7 +445,7 @@ def merged(found: DataFrame, tops: DataFrame) -> DataFrame:
 
 def similarity_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-    frequent: int = FREQUENT,
+    frequent: int = FREQUENT, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable over links, for each row.
 
@@ -363,6 +456,7 @@ def similarity_components(
 
     Tables that several steps read are written to the shared folder. The list of frequent shingles is the
     only thing that reaches the driver; it has at most ``frequent`` entries and decides on the order of elements, not on results.
+    Lists above ``block_rows`` rows are compared in pairs of blocks.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -403,13 +497,22 @@ def similarity_components(
         "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component")
     )
     placed = written(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_lists = placed.join(mixed.select("token"), "token", "left_semi").join(members.select("rep", "bits"), "rep").select(
-        "token", "rep", "n", "pos", "component", "bits"
+    mixed = placed.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")
     )
-    crossing = open_lists.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(
+    mixed = written(mixed.filter("low < high").select("token", "rows"), "mixed")
+    is_long = F.col("rows") > block_rows
+
+    def open_lists(which) -> DataFrame:
+        chosen = placed.join(mixed.filter(which).select("token"), "token", "left_semi")
+        return chosen.join(members.select("rep", "bits"), "rep").select("token", "rep", "n", "pos", "component", "bits")
+
+    crossing = open_lists(~is_long).repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(
         crossing_pairs(percent), "a bigint, b bigint"
     )
+    if not mixed.filter(is_long).isEmpty():
+        long = cells(open_lists(is_long), percent, block_rows).repartition("x", "y").sortWithinPartitions("x", "y", "side", "n", "rep")
+        crossing = crossing.unionByName(long.mapInArrow(cell_pairs(percent), "a bigint, b bigint"))
     more = written(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     more_links = verified(more, sets, percent)
     # What round one has joined is one node from here on; mostly nothing is left to join.

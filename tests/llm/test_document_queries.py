@@ -247,6 +247,57 @@ def test_similarity_join_at_the_threshold(spark, width, percent, frequent):
     assert Counter(map(tuple, found)) == Counter(plain_components(rows, width, percent))
 
 
+def template_rows(n=160):
+    """Texts on one template, which share frequent shingles and are too far apart to link, and copies of some of them."""
+    draw = random.Random(5)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in draw.sample(range(60), 3 if i % 4 else 1):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    return rows + [(n + i, f"{t} more{i % 3}") for i, (_, t) in enumerate(rows[:40])]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50])
+def test_similarity_join_of_long_lists(spark, limit):
+    """Lists above the bound are compared in blocks, with the same result."""
+    from rowkeeper.llm.jaccard import similarity_components
+
+    rows = template_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = similarity_components(docs, 4, 85, frequent=1000, block_rows=limit).collect()
+    assert Counter(map(tuple, found)) == Counter(plain_components(rows, 4, 85))
+
+
+def test_blocks_hold_few_rows_and_meet_once(spark):
+    """One list of a large component, small ones and several sizes: each pair of components once, in cells of bounded size."""
+    from rowkeeper.llm.jaccard import cells
+
+    draw = random.Random(9)
+    entries = [(1, rep, draw.choice([90, 100, 110, 400]), 0, 0 if rep < 300 else rep // 2, bytes(64)) for rep in range(500)]
+    rows = spark.createDataFrame(entries, "token bigint, rep bigint, n int, pos int, component bigint, bits binary")
+    held = {}
+    for r in cells(rows, 85, 20).collect():
+        held.setdefault((r["x"], r["y"]), []).append(r)
+    # A hash fills the blocks, so some hold a few more than 20 rows of the list's 500.
+    assert max(map(len, held.values())) <= 100
+    times = Counter()
+    for (x, y), own in held.items():
+        for i, r in enumerate(own):
+            for q in own[i + 1 :]:
+                if x == y or r["side"] != q["side"]:
+                    times[tuple(sorted((r["rep"], q["rep"])))] += 1
+    want = {
+        (a[1], b[1]) for i, a in enumerate(entries) for b in entries[i + 1 :]
+        if a[4] != b[4] and 100 * min(a[2], b[2]) >= 85 * max(a[2], b[2])
+    }
+    assert all(times[p] == 1 for p in want) and max(times.values()) == 1
+    big = [p for p in times if p[1] < 300]
+    assert not big  # rows of the one large component never meet
+
+
 def test_fingerprints(spark, folder, rows):
     """Rows with the same id stand in the order of their texts."""
     order = sorted(((d, t or "") for d, t in rows), key=lambda r: (-r[0], r[1].encode()))
