@@ -7,7 +7,7 @@ too, so they travel together as one segment of words. Segments whose gram occurs
 
 A group that fits into memory becomes a subtree: its suffixes are told apart by prefixes of 1, 2, 4, ... words, up to the
 window, and a suffix leaves as soon as its prefix is found in one document only. What is left at the full depth are the deep
-nodes with several documents. For a group that is too large, the prefix is taken at full length at once: each window is a row with a hash of its
+nodes with several documents. For a group with too many segments or words, the prefix is taken at full length at once: each window is a row with a hash of its
 words, and counting those is an aggregation, which no large group can hold up.
 """
 
@@ -24,9 +24,11 @@ from rowkeeper.session import written
 WINDOW = 50
 GRAM = 8
 GROUP_SEGMENTS = 20_000  # segments of a group that a task takes as one subtree
+GROUP_WORDS = 1_000_000  # words in the segments of such a group; a segment of periodic text can be as long as its document
+WORDS_AT_ONCE = 500_000  # words of segments, or windows, that a task gives away together
 TREE_WORDS = 1_000_000  # smaller groups share a tree up to this size
 
-KEYED = "id bigint, th bigint, key bigint, segments bigint"
+KEYED = "id bigint, th bigint, key bigint, segments bigint, words bigint"
 SEGMENTS = "id bigint, th bigint, key bigint, start int, words binary"
 REMOVED = "id bigint, th bigint, first int, stop int"
 WINDOWS = "id bigint, th bigint, start int, k1 bigint, k2 bigint"
@@ -56,38 +58,48 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The distinct keys of each document, with the number of their segments in it."""
+    """The distinct keys of each document, with the number of their segments in it and of the words in these."""
 
     def find(batches):
         hashes = WordHashes()
         for ids, marks, texts in rows_of(batches, "id", "th", "text"):
-            keys, counts, rows = [], [], []
+            keys, counts, words, rows = [], [], [], []
             for row, text in enumerate(texts):
                 own = window_keys(hashes.of(words_of(text)), window, gram)
-                starts, _ = runs_of(own)
-                values, times = np.unique(own[starts], return_counts=True)
+                starts, ends = runs_of(own)
+                values, at, times = np.unique(own[starts], return_inverse=True, return_counts=True)
+                sizes = np.zeros(len(values), np.int64)
+                np.add.at(sizes, at, ends - starts + window - 1)
                 keys.append(values.view(np.int64))
                 counts.append(times.astype(np.int64))
+                words.append(sizes)
                 rows.append(np.full(len(values), row))
             at = np.concatenate(rows).astype(int)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(ids, np.int64)[at]), pa.array(np.array(marks, np.int64)[at]),
-                    pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts)),
+                    pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(words)),
                 ],
-                ["id", "th", "key", "segments"],
+                ["id", "th", "key", "segments", "words"],
             )
 
     return docs.mapInArrow(find, KEYED)
 
 
-def segments_of(texts: DataFrame, keys: str, window: int, gram: int) -> DataFrame:
+def segment_cutter(window: int, gram: int):
     """The segments of each document whose key is in its list; a document without a list has a null text too."""
 
+    def batch_of(rows):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "th", "key", "start", "words"]
+        )
+
     def cut(batches):
         hashes = WordHashes()
-        for ids, marks, texts, wanted in rows_of(batches, "id", "th", "text", keys):
-            rows = []
+        for ids, marks, texts, wanted in rows_of(batches, "id", "th", "text", "wanted"):
+            rows, size = [], 0
             for doc_id, mark, text, chosen in zip(ids, marks, texts, wanted):
                 if not chosen:
                     continue
@@ -97,13 +109,13 @@ def segments_of(texts: DataFrame, keys: str, window: int, gram: int) -> DataFram
                 here = np.isin(own[starts], np.array(chosen, np.int64))
                 for a, b in zip(starts[here].tolist(), ends[here].tolist()):
                     rows.append((doc_id, mark, int(own[a]), a, words[a : b + window - 1].tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "th", "key", "start", "words"]
-            )
+                    size += b - a + window - 1
+                if size >= WORDS_AT_ONCE:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
 
-    return texts.mapInArrow(cut, SEGMENTS)
+    return cut
 
 
 def classes(first: np.ndarray, second: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,9 +204,15 @@ def tree_ranges(window: int):
 def hashed_windows(window: int):
     """A row per window of a segment, with 128 bits of hash of its words."""
 
+    def batch_of(parts):
+        kinds = [np.int64, np.int64, np.int32, np.int64, np.int64]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(p) if p else np.zeros(0, k)) for p, k in zip(parts, kinds)], ["id", "th", "start", "k1", "k2"]
+        )
+
     def spread(batches):
         for ids, marks, starts, words in rows_of(batches, "id", "th", "start", "words"):
-            parts = [[], [], [], [], []]
+            parts, size = [[], [], [], [], []], 0
             for doc_id, mark, start, text in zip(ids, marks, starts, words):
                 hashes = np.frombuffer(text, np.uint64)
                 k1, k2 = window_hashes(hashes, window), window_hashes(mixed(hashes), window)
@@ -204,21 +222,23 @@ def hashed_windows(window: int):
                     k1.view(np.int64), k2.view(np.int64),
                 )):
                     part.append(values)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(p)) for p in parts], ["id", "th", "start", "k1", "k2"]
-            )
+                size += n
+                if size >= WORDS_AT_ONCE:
+                    yield batch_of(parts)
+                    parts, size = [[], [], [], [], []], 0
+            yield batch_of(parts)
 
     return spread
 
 
-def repeated_ranges(rows: DataFrame, window: int, gram: int, group_segments: int) -> DataFrame:
+def repeated_ranges(rows: DataFrame, window: int, gram: int, group_segments: int, group_words: int) -> DataFrame:
     """Ranges of words (``first``, ``stop``) of rows ``id``, ``th``, ``text`` that repeat a document with a smaller id."""
     usable = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     keys = written(keyed(usable, window, gram), "keys")
     shared = keys.groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.sum("segments").alias("n")
-    ).filter("low < high").select("key", "n")
-    is_small = F.col("n") <= group_segments
+        F.min("id").alias("low"), F.max("id").alias("high"), F.sum("segments").alias("n"), F.sum("words").alias("size")
+    ).filter("low < high").select("key", "n", "size")
+    is_small = (F.col("n") <= group_segments) & (F.col("size") <= group_words)
     wanted = written(
         keys.join(shared, "key").groupBy("id", "th").agg(
             F.collect_set(F.when(is_small, F.col("key"))).alias("small"),
@@ -228,14 +248,17 @@ def repeated_ranges(rows: DataFrame, window: int, gram: int, group_segments: int
     # The same left join as the caller's: texts are then shuffled once for all.
     joined = rows.join(wanted, ["id", "th"], "left")
 
-    def segments(keys: str) -> DataFrame:
+    def texts(keys: str) -> DataFrame:
         needed = F.when(F.size(keys) > 0, F.col("text")).alias("text")
-        return segments_of(joined.select("id", "th", needed, keys), keys, window, gram)
+        return joined.select("id", "th", needed, F.col(keys).alias("wanted"))
 
-    ranges = segments("small").repartition("key").sortWithinPartitions("key").mapInArrow(tree_ranges(window), REMOVED)
+    cut, hashed = segment_cutter(window, gram), hashed_windows(window)
+    segments = texts("small").mapInArrow(cut, SEGMENTS)
+    ranges = segments.repartition("key").sortWithinPartitions("key").mapInArrow(tree_ranges(window), REMOVED)
     if wanted.filter(F.size("large") > 0).isEmpty():
         return ranges
-    windows = written(segments("large").mapInArrow(hashed_windows(window), WINDOWS), "windows")
+    # Long segments never become rows of Spark on this way.
+    windows = written(texts("large").mapInArrow(lambda batches: hashed(cut(batches)), WINDOWS), "windows")
     nodes = windows.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     large = windows.join(nodes.select("k1", "k2", "low"), ["k1", "k2"]).filter("id > low").select(
         "id", "th", F.col("start").alias("first"), (F.col("start") + window).cast("int").alias("stop")
@@ -253,7 +276,7 @@ def kept_words(words: list, ranges: list[tuple[int, int]]) -> list:
 
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
-    group_segments: int = GROUP_SEGMENTS,
+    group_segments: int = GROUP_SEGMENTS, group_words: int = GROUP_WORDS,
 ) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` of each row.
 
@@ -264,7 +287,7 @@ def remove_repeats(
     are ignored. Windows are compared by 64-bit hashes of all their words (128 bits of the whole in large groups).
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(rows, window, gram, group_segments)
+    ranges = repeated_ranges(rows, window, gram, group_segments, group_words)
     by_row = ranges.groupBy("id", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("stop").alias("stops"))
 
     def cut(batches):

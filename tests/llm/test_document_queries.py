@@ -131,6 +131,34 @@ def test_substring_dedup_of_large_groups(spark, folder, rows, limit):
     assert as_counter([r.asDict() for r in remove_repeats(docs, group_segments=limit).collect()], *names) == want
 
 
+def test_substring_dedup_of_periodic_texts(spark, monkeypatch):
+    """Texts of one repeated word are one segment each; many of them are more words than a task may take as one group."""
+    from rowkeeper.llm import substrings
+
+    trees, most = substrings.tree_ranges, 1_000_000
+
+    def bounded(window):
+        inner = trees(window)
+
+        def checked(batches):
+            batches, words = list(batches), Counter()
+            for batch in batches:
+                for row in batch.to_pylist():
+                    words[row["key"]] += len(row["words"]) // 8
+            if words and max(words.values()) > most:
+                raise ValueError(f"{max(words.values())} words in one group")
+            yield from inner(iter(batches))
+
+        return checked
+
+    monkeypatch.setattr(substrings, "tree_ranges", bounded)
+    texts = [" ".join(["again"] * 25_000)] * 60 + [" ".join(["a b c"] * 2000)] * 2 + [" ".join(["tail"] * 49 + ["again"] * 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect()}
+    want = {0: (25_000, 0), **{i: (25_000, 25_000) for i in range(1, 60)}, 60: (6000, 0), 61: (6000, 6000), 62: (109, 60)}
+    assert got == want
+
+
 def test_secret_scan(spark, folder, rows):
     forms = [
         ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, re.I | re.A),
