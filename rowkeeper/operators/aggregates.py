@@ -93,12 +93,15 @@ def sum_by_key(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(measure).alias("total"))
 
 
-def pivot_counts(df: DataFrame, row: str, item: str, values: list) -> DataFrame:
+def pivot_counts(df: DataFrame, row: str, item: str, values: list, other: str | None = None) -> DataFrame:
     """Count table: one row per row key, one column per listed item in alphabetical order, 0 where nothing is.
 
+    ``other`` names a last column that counts the rows with an unlisted item or none.
     Conditional counts need one shuffle; a pivot would need two.
     """
     counts = [F.count_if(F.col(item) == v).alias(str(v)) for v in sorted(values, key=str)]
+    if other is not None:
+        counts.append(F.count_if(~F.coalesce(F.col(item).isin(list(values)), F.lit(False))).alias(other))
     return df.groupBy(row).agg(*counts).orderBy(row)
 
 

@@ -135,17 +135,20 @@ MAX_DOMAIN = 10_000
 
 
 def dense_scaffold(
-    base: DataFrame, domains: dict[str, list], facts: DataFrame | None = None, measure: str | None = None,
+    base: DataFrame, domains: dict[str, list | DataFrame], facts: DataFrame | None = None, measure: str | None = None,
     pred: Column | None = None,
 ) -> DataFrame:
     """Each base row with every combination of small value lists, optionally only those that pass a test;
-    facts fill the measure and what has no fact gets 0."""
+    facts fill the measure and what has no fact gets 0. A domain of any size can be a DataFrame of one column."""
     for name, values in domains.items():
-        if len(values) > MAX_DOMAIN:
+        if not isinstance(values, DataFrame) and len(values) > MAX_DOMAIN:
             raise ValueError(f"domain {name} has {len(values)} values; at most {MAX_DOMAIN}")
     dense = base
     for name, values in domains.items():
-        dense = dense.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        if isinstance(values, DataFrame):
+            dense = dense.crossJoin(values.toDF(name))
+        else:
+            dense = dense.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     if pred is not None:
         dense = dense.filter(pred)
     if facts is None:
