@@ -1,4 +1,4 @@
-"""Substring deduplication: repeated windows of words, found with suffix trees of memory-sized groups.
+"""Substring deduplication: repeated windows of words, found in groups of memory size by prefix doubling; no tree is built.
 
 A suffix starts at each word; only its first ``window`` words matter, as a node of the suffix tree that deep is a repeat long enough.
 Suffixes are divided so that equal windows are in one group. A group's key is the short run of words (a gram)
