@@ -486,6 +486,24 @@ def test_languages(spark, folder):
     assert all(0 <= r["confidence"] <= 1 for r in edges)
 
 
+def test_languages_of_rows_outside_the_fit(spark):
+    """Fitted on even ids, judged on odd ones."""
+    from pyspark.sql import functions as F
+
+    from rowkeeper.llm.language import fit_likelihoods, language_scores
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    even = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text", "lang")
+    scored = language_scores(
+        docs.filter("doc_id % 2 = 1"), fit_likelihoods(even, per_language=500), ["doc_id"], F.col("text"), host=F.col("source")
+    )
+    found = {r["doc_id"]: r["language"] for r in scored.collect()}
+    given = {r.doc_id: r.lang for r in docs.filter("doc_id % 2 = 1 AND lang IS NOT NULL AND size(split(text, ' ')) >= 20").collect()}
+    right = sum(found[d] == lang for d, lang in given.items())
+    print(right, len(given))
+    assert len(given) > 200 and right >= 0.95 * len(given)
+
+
 @pytest.fixture(scope="module")
 def no_rows(tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
