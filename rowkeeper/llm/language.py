@@ -124,21 +124,25 @@ def with_text_scores(rows: DataFrame, model, n: int) -> DataFrame:
     return rows.mapInArrow(score, schema)
 
 
-def posterior(scores: list[Column]) -> list[Column]:
-    """Probabilities from log scores."""
-    most = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - most) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as part of one expression that no optimizer step can unfold."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def summed(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda so_far, x: so_far + x)
+
+
+def posterior(scores: Column) -> Column:
+    """Probabilities from an array of log scores."""
+    parts = let(F.array_max(scores), lambda most: F.transform(scores, lambda x: F.exp(x - most)))
+    return let(parts, lambda p: let(summed(p), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def mixes(scored: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Summed text posteriors of each value: array ``m`` of languages."""
-    own = posterior([F.get("t", i) for i in range(n)])
-    summed = scored.select(*keys, *[p.alias(f"p{i}") for i, p in enumerate(own)])
-    return summed.groupBy(*keys).agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]).select(
-        *keys, F.array(*[f"p{i}" for i in range(n)]).alias("m")
-    )
+    own = scored.select(*keys, posterior(F.col("t")).alias("p"))
+    return own.groupBy(*keys).agg(F.array(*[F.sum(F.get("p", i)) for i in range(n)]).alias("m")).select(*keys, "m")
 
 
 @dataclass(frozen=True)
@@ -165,49 +169,55 @@ def corpus_evidence(scored: DataFrame, n: int) -> Evidence:
     return Evidence(list(whole.m) if whole else [0.0] * n, hosts, declared, suffixes)
 
 
-def fused(scored: DataFrame, evidence: Evidence, n: int) -> list:
-    """``scored`` with its evidence joined, and the posterior of each language."""
+def with_evidence(scored: DataFrame, evidence: Evidence) -> DataFrame:
+    """``scored`` with the mixes of its host and site (``_m``, ``_s``), declared language (``_d``) and suffix (``_e``)."""
     hosts = evidence.hosts.select(F.col("host").alias("_host"), F.col("m").alias("_m"), F.col("s").alias("_s"))
     said = evidence.declared.select(F.col("declared").alias("_declared"), F.col("m").alias("_d"))
     ends = evidence.suffixes.select(F.col("suffix").alias("_suffix"), F.col("m").alias("_e"))
-    joined = (
+    return (
         scored.join(hosts, F.col("host") == F.col("_host"), "left")
         .join(said, F.col("declared") == F.col("_declared"), "left")
         .join(ends, suffix_of(F.col("host")) == F.col("_suffix"), "left")
     )
+
+
+def fused(evidence: Evidence, n: int) -> Column:
+    """Log scores of all languages, one expression over the columns of ``with_evidence``; its size does not grow with them."""
     total = sum(evidence.whole)
-    whole = [(x + 1.0) / (total + n) for x in evidence.whole]
-    # A document does not vouch for itself: its own share is taken out of the mix of its host and site.
-    own = posterior([F.get("t", i) for i in range(n)])
+    whole = F.array(*[F.lit((x + 1.0) / (total + n)) for x in evidence.whole])
 
-    def size(m: str) -> Column:
-        return sum([F.get(m, i) for i in range(1, n)], F.get(m, 0))
+    def scores(own: Column, sizes: Column) -> Column:
+        # A document does not vouch for itself: its own share is taken out of every mix that it is part of.
+        def without_own(mix: str, parent: Column, rows: float, p: Column, i: Column) -> Column:
+            return (F.get(mix, i) - p + rows * parent) / (sizes[mix] - 1 + rows)
 
-    scores = []
-    for i in range(n):
-        site = (F.get("_s", i) - own[i] + PARENT_ROWS * whole[i]) / (size("_s") - 1 + PARENT_ROWS)
-        host = (F.get("_m", i) - own[i] + PARENT_ROWS * site) / (size("_m") - 1 + PARENT_ROWS)
-        prior = F.coalesce(F.greatest(host, F.lit(1e-9)), F.lit(whole[i]))
+        def score(p: Column, i: Column) -> Column:
+            corpus = F.get(whole, i)
+            prior = without_own("_m", without_own("_s", corpus, PARENT_ROWS, p, i), PARENT_ROWS, p, i)
+            # How much more often a value goes with the language than the language occurs.
+            said = [
+                F.coalesce(F.log(F.greatest(without_own(mix, corpus, EVIDENCE_ROWS, p, i), F.lit(1e-9)) / corpus), F.lit(0.0))
+                for mix in ("_d", "_e")
+            ]
+            return F.get("t", i) + F.log(F.coalesce(F.greatest(prior, F.lit(1e-9)), corpus)) + said[0] + said[1]
 
-        def says(m: str, i=i) -> Column:
-            """How much more often this value goes with the language than the language occurs, without own share."""
-            share = (F.get(m, i) - own[i] + EVIDENCE_ROWS * whole[i]) / (size(m) - 1 + EVIDENCE_ROWS)
-            return F.coalesce(F.log(F.greatest(share, F.lit(1e-9)) / whole[i]), F.lit(0.0))
+        return F.transform(own, score)
 
-        scores.append(F.get("t", i) + F.log(prior) + says("_d") + says("_e"))
-    return [joined.withColumns({f"_score{i}": s for i, s in enumerate(scores)}), posterior([F.col(f"_score{i}") for i in range(n)])]
+    # Null mixes have null sizes, as ``aggregate`` of null is null.
+    sizes = F.struct(*[summed(F.col(mix)).alias(mix) for mix in ("_m", "_s", "_d", "_e")])
+    return let(posterior(F.col("t")), lambda own: let(sizes, lambda n_rows: scores(own, n_rows)))
 
 
 def decided(scored: DataFrame, evidence: Evidence, languages: tuple[str, ...], least: float, has_text: str) -> DataFrame:
     """Add ``language``, ``confidence`` and ``kept``; ties go to the language that sorts first."""
-    n = len(languages)
-    joined, shares = fused(scored, evidence, n)
-    with_shares = joined.withColumns({f"_p{i}": p for i, p in enumerate(shares)})
-    best = F.greatest(*[f"_p{i}" for i in range(n)]) if n > 1 else F.col("_p0")
-    language = F.coalesce(*[F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(name)) for i, name in enumerate(languages)])
-    chosen = with_shares.withColumn("_best", best).withColumn("language", F.when(F.col(has_text), language).otherwise(UNDETERMINED))
-    kept = (F.col("language") != UNDETERMINED) & (F.col("_best") >= least)
-    return chosen.withColumn("confidence", F.when(F.col(has_text), F.col("_best")).otherwise(F.lit(0.0))).withColumn("kept", kept)
+    names = F.array(*[F.lit(name) for name in languages])
+    und = F.struct(F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("confidence"))
+    chosen = let(posterior(fused(evidence, len(languages))), lambda p: let(F.array_max(p), lambda best: F.struct(
+        F.get(names, (F.array_position(p, best) - 1).cast("int")).alias("language"), best.alias("confidence")
+    )))
+    found = with_evidence(scored, evidence).withColumn("_found", F.when(F.col(has_text), chosen).otherwise(und))
+    kept = (F.col("_found.language") != UNDETERMINED) & (F.col("_found.confidence") >= least)
+    return found.withColumns({"language": F.col("_found.language"), "confidence": F.col("_found.confidence"), "kept": kept})
 
 
 def evidence_rows(docs: DataFrame, keep: list[str], text: Column, host: Column, declared: Column) -> DataFrame:
@@ -255,7 +265,7 @@ def documents_in_known_languages(
 
 
 def page_text(html: Column) -> Column:
-    """Text of a page: without comments, scripts, styles and tags."""
+    """Text of a page: without comments, code, styles and tags."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
