@@ -173,3 +173,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from rowkeeper.llm.toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.7)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.repair import damaged, repair_conversations
+
+    return repair_conversations(*damaged(table(spark, folder, "conversations")))
