@@ -180,3 +180,10 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     from rowkeeper.llm.repair import damaged, repair_conversations
 
     return repair_conversations(*damaged(table(spark, folder, "conversations")))
+
+
+@query("op12_conversation_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, folder, "conversations"))
