@@ -187,3 +187,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from rowkeeper.llm.trie import conversation_trie
 
     return conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op11_page_text")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from rowkeeper.llm.wrapper import page_texts
+
+    return page_texts(table(spark, folder, "pages"))
