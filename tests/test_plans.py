@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from rowkeeper import checks
 
 USUAL = "/root/testdata/sf0.01"
 SMALL_ONE_TASK = {
@@ -20,7 +20,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(build(spark, USUAL)) for name, build in contract.queries().items()}
+    return {name: plan(build(spark, USUAL)) for name, build in checks.QUERIES.items()}
 
 
 def test_no_cross_joins_and_no_python(plans):
@@ -52,7 +52,7 @@ def test_scans_read_only_what_is_needed(plans):
 
 
 def test_ranked_table_has_no_single_task_when_large(spark, few_hot_rows):
-    text = plan(contract.queries()["custom_order"](spark, USUAL))
+    text = plan(checks.QUERIES["custom_order"](spark, USUAL))
     rows_window = text.split("Window")[1]
     assert "hashpartitioning(_slice" in text and "SinglePartition" not in rows_window.split("Exchange")[1][:40]
 
