@@ -10,6 +10,7 @@ from rowkeeper.plans.ordered import ordered
 from rowkeeper.schemas import DEPLOY_ACTIONS, FILE_DELETED
 from rowkeeper.session import workspace, written
 from rowkeeper.sources.readers import catalog_columns, inline_rows
+from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import append_table
 
 
@@ -315,7 +316,7 @@ def table_clone(t):
     for mode in ("schema", "full"):
         path = workspace(t.spark, f"clone-{mode}")
         fleet.table_clone(t.orders, path, mode, size)
-        copy = t.spark.read.parquet(path)
+        copy = read_table(t.spark, path)
         summaries.append(copy.agg(
             F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n_rows"), F.sum("o_custkey").alias("sum_custkey"),
             F.lit(len(copy.columns)).alias("n_columns"),

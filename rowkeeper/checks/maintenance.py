@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rowkeeper.checks.registry import ORDERS_AS_OF, check
 from rowkeeper.operators import maintenance
 from rowkeeper.session import workspace
+from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import append_table
 
 
@@ -108,7 +109,7 @@ def disable_rules(t):
 def split_by_target(t):
     path = workspace(t.spark, "targets")
     maintenance.split_by_target(t.supplier, "s_nationkey", path)
-    return t.spark.read.schema(t.supplier.schema).parquet(path)
+    return read_table(t.spark, path)
 
 
 def loaded_before(t, day):

@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from rowkeeper.checks.registry import check
 from rowkeeper.operators import ordering
+from rowkeeper.plans import booking
+from rowkeeper.schemas import METADATA
+from rowkeeper.sources.readers import inline_rows
+from rowkeeper.sources.versions import read_table
 from rowkeeper.session import workspace
 from rowkeeper.sources.writers import append_table
 
@@ -32,6 +36,35 @@ def next_in_queue_overall(t):
     return ordering.next_in_queue(queued(t), QUEUE_ORDER)
 
 
+# Three jobs are booked one after the other: logs (finished orders here) go first, then the earliest window and the smallest delta.
+BOOKED_SQL = """
+WITH q AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'L' ELSE 'D' END AS backup_type,
+    date_trunc('month', o_orderdate) AS current_window_start, CAST(o_custkey % 50 AS INTEGER) AS backup_delta, o_orderdate AS queue_time,
+    CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate END AS unqueue_time,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS is_selected FROM orders),
+  r AS (SELECT id, row_number() OVER (ORDER BY CASE backup_type WHEN 'L' THEN 0 ELSE 1 END, current_window_start, backup_delta,
+    queue_time, id) AS place FROM q WHERE is_selected = 0 AND unqueue_time IS NULL)
+SELECT q.id, q.backup_type, CASE WHEN place <= 3 THEN 1 ELSE is_selected END AS is_selected, coalesce(place <= 3, false) AS booked_now
+FROM q LEFT JOIN r ON q.id = r.id
+"""
+
+
+@check("book_next", BOOKED_SQL)
+def book_next(t):
+    queue = t.orders.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "L").otherwise("D").alias("backup_type"),
+        F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("current_window_start"),
+        (F.col("o_custkey") % 50).cast("int").alias("backup_delta"), F.col("o_orderdate").alias("queue_time"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("unqueue_time"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("is_selected"), F.lit("queued").alias("status"),
+    )
+    metadata = inline_rows(t.spark, [("all", "LP", "log priority", "1")], METADATA)
+    path = workspace(t.spark, "queue")
+    booking.store_queue(queue, path)
+    booked = [booking.book_next(t.spark, path, metadata) for _ in range(3)]
+    return read_table(t.spark, path).select("id", "backup_type", "is_selected", F.col("id").isin(booked).alias("booked_now"))
+
+
 @check("oldest_eligible", """
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'
 ORDER BY o_orderkey LIMIT 1

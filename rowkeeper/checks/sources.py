@@ -7,6 +7,7 @@ from rowkeeper.operators.joins import dict_lookup
 from rowkeeper.schemas import DEPLOY_CONFIG, OUTCOME_CODES
 from rowkeeper.session import workspace
 from rowkeeper.sources import readers, writers
+from rowkeeper.sources.versions import read_table
 
 PEOPLE = """
 SELECT 'customer' AS source, c_custkey AS key, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal
@@ -166,7 +167,7 @@ def replace_table(t):
     writers.replace_table(t.supplier.withColumn("s_acctbal", F.lit(0.0)), path, "s_nationkey")
     near = t.nation.filter(F.col("n_regionkey") <= 2).select(F.col("n_nationkey").alias("s_nationkey"))
     writers.replace_table(t.supplier.join(near, "s_nationkey", "left_semi"), path, "s_nationkey")
-    return t.spark.read.schema(t.supplier.schema).parquet(path)
+    return read_table(t.spark, path)
 
 
 @check("replace_in_place", """
@@ -177,10 +178,10 @@ def replace_in_place(t):
     """A table is purged and then updated, each time from its own rows and at its own place."""
     path = workspace(t.spark, "in_place")
     writers.replace_table(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"), path)
-    writers.replace_table(t.spark.read.parquet(path).filter("o_orderdate >= DATE '1995-01-01'"), path)
+    writers.replace_table(read_table(t.spark, path).filter("o_orderdate >= DATE '1995-01-01'"), path)
     price = F.when(F.col("o_orderstatus") == "O", F.lit(0.0)).otherwise(F.col("o_totalprice")).alias("o_totalprice")
-    writers.replace_table(t.spark.read.parquet(path).select("o_orderkey", "o_custkey", price), path)
-    return t.spark.read.parquet(path)
+    writers.replace_table(read_table(t.spark, path).select("o_orderkey", "o_custkey", price), path)
+    return read_table(t.spark, path)
 
 
 @check("staged_insert", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowkeeper.operators.filters import moment
 from rowkeeper.functions.scalars import plus
 from rowkeeper.plans.skew import skew_join
+from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import replace_table
 
 
@@ -86,7 +87,7 @@ def split_by_target(df: DataFrame, target: str, path: str) -> None:
 
 def target_copy(spark: SparkSession, path: str, target: str, value) -> DataFrame:
     """The copy of one target; only its folder is read."""
-    return spark.read.parquet(path).filter(F.col(target) == value)
+    return read_table(spark, path).filter(F.col(target) == value)
 
 
 def incremental_rows(batch: DataFrame, marks: DataFrame, source: str, id: str) -> DataFrame:

@@ -2,54 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowkeeper.sources.versions import publish, versions
+
 
 def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Add rows to a table; with a commit when it has commits."""
+    if versions(df.sparkSession, path):
+        publish(df, path, keep="all")
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace the whole table, or only the partitions that the frame holds.
-
-    Rows are rebalanced by the partition column: a hot partition is spread over
-    several writers and small ones share a writer.
+    """Replace the whole table, or only the partitions that the frame holds; read it with ``versions.read_table``.
 
-    The frame may read the table that it replaces. The whole table is written beside the old one, which gives way only when
-    all rows are there; a write that breaks leaves the old rows. Partitions are staged by Spark in the same way.
+    The rows are written first and one commit makes them the table, so the frame may read the table that it replaces, a
+    write that breaks at any step leaves the old rows, and readers of the old rows are not disturbed.
     """
-    if partition is None:
-        mark = uuid.uuid4().hex
-        new, old = (f"{path.rstrip('/')}.{kind}-{mark}" for kind in ("new", "old"))
-        df.write.parquet(new)
-        _switch(df.sparkSession, path, new, old)
-        return
-    (
-        df.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-
-
-def _switch(spark: SparkSession, path: str, new: str, old: str) -> None:
-    """Put the new folder in the place of the one at ``path``; the old one comes back if that fails."""
-    at, to, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = files.exists(at)
-    if held and not files.rename(at, aside):
-        raise OSError(f"cannot set aside {path}; the new rows are in {new}")
-    if not files.rename(to, at):
-        if held:
-            files.rename(aside, at)
-        raise OSError(f"cannot move {new} to {path}")
-    if held:
-        files.delete(aside, True)
-    spark.catalog.refreshByPath(path)
+    publish(df, path, partition, "nothing" if partition is None else "other partitions")
 
 
 def staged_insert(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from rowkeeper.operators import filters, maintenance, ordering
 from rowkeeper.plans import fleet
 from rowkeeper.session import workspace
 from rowkeeper.sources import readers, writers
+from rowkeeper.sources.versions import read_table
 
 AS_OF = "2024-01-31 12:00:00"
 
@@ -105,33 +106,33 @@ def test_config_sync_of_all_targets_at_once(spark):
     # A later sync of one target leaves the others alone.
     changed = central.filter("server_name = 's2'").withColumn("key_value", F.lit("7"))
     writers.replace_table(changed, path, "server_name")
-    assert spark.read.parquet(path).groupBy("server_name").count().count() == 2
+    assert read_table(spark, path).groupBy("server_name").count().count() == 2
     assert maintenance.target_copy(spark, path, "server_name", "s2").first().key_value == "7"
 
 
 def test_replace_from_its_own_rows(spark):
     path = workspace(spark, "own")
     writers.replace_table(spark.range(100), path)
-    writers.replace_table(spark.read.parquet(path).filter("id >= 40"), path)
-    writers.replace_table(spark.read.parquet(path).filter("id < 90"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(40, 90))
+    writers.replace_table(read_table(spark, path).filter("id >= 40"), path)
+    writers.replace_table(read_table(spark, path).filter("id < 90"), path)
+    assert sorted(r.id for r in read_table(spark, path).collect()) == list(range(40, 90))
 
 
 def test_replace_that_breaks_keeps_the_old_rows(spark):
     path = workspace(spark, "broken")
     writers.replace_table(spark.range(100), path)
-    held = spark.read.parquet(path)
+    held = read_table(spark, path)
     broken = held.select(F.when(F.col("id") == 77, F.raise_error(F.lit("half way"))).otherwise(F.col("id")).cast("bigint").alias("id"))
     with pytest.raises(Exception, match="half way"):
         writers.replace_table(broken, path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
+    assert sorted(r.id for r in read_table(spark, path).collect()) == list(range(100))
 
 
 def test_partitions_replaced_from_their_own_rows(spark):
     path = workspace(spark, "own_parts")
     writers.replace_table(spark.range(60).withColumn("p", F.col("id") % 3), path, "p")
-    writers.replace_table(spark.read.parquet(path).filter("p = 1 AND id < 30"), path, "p")
-    counts = {r.p: r["count"] for r in spark.read.parquet(path).groupBy("p").count().collect()}
+    writers.replace_table(read_table(spark, path).filter("p = 1 AND id < 30"), path, "p")
+    counts = {r.p: r["count"] for r in read_table(spark, path).groupBy("p").count().collect()}
     assert counts == {0: 20, 1: 10, 2: 20}
 
 

@@ -67,9 +67,10 @@ def test_copy_of_one_target_reads_one_folder(spark, tmp_path):
 
 
 def test_written_partitions_are_rebalanced(spark, tmp_path):
+    from rowkeeper.sources.versions import read_table
     from rowkeeper.sources.writers import replace_table
 
     df = spark.range(100).withColumn("p", F.lit(1))
     replace_table(df, str(tmp_path / "t"), "p")
     assert "RebalancePartitions" in df.hint("rebalance", "p")._jdf.queryExecution().optimizedPlan().toString()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 100
+    assert read_table(spark, str(tmp_path / "t")).count() == 100
