@@ -103,27 +103,40 @@ def pii_content(t):
     return fleet.pii_content(t.documents, "text", PII_PATTERNS, ["lang"])
 
 
-@check("backup_archive", f"""
+ARCHIVE_SQL = f"""
 WITH s AS (SELECT o_orderkey AS backup_set_id, o_orderpriority AS server_name, CAST(o_custkey AS VARCHAR) AS database_name,
-    o_orderdate AS backup_start_date, o_orderstatus AS type FROM orders),
+    o_orderdate AS backup_start_date, o_orderdate + INTERVAL 1 HOUR AS backup_finish_date, o_orderstatus AS type,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'FULL' ELSE 'SIMPLE' END AS recovery_model FROM orders),
   m AS (SELECT DISTINCT l_orderkey AS backup_set_id, 'dev_' || l_suppkey AS physical_device_name FROM lineitem),
   a AS (SELECT s.*, physical_device_name FROM s JOIN m ON s.backup_set_id = m.backup_set_id
-    WHERE server_name <> '1-URGENT' AND backup_start_date < TIMESTAMP '1998-01-01'),
+    WHERE server_name <> '1-URGENT' AND {{first}}),
   k AS (SELECT server_name, max(backup_set_id) AS mark FROM a GROUP BY server_name),
   r AS (SELECT * FROM a UNION ALL SELECT s.*, physical_device_name FROM s JOIN m ON s.backup_set_id = m.backup_set_id
     LEFT JOIN k ON k.server_name = s.server_name WHERE s.backup_set_id > coalesce(k.mark, 0))
-SELECT * FROM r WHERE backup_start_date > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 2 YEAR
-""")
-def backup_archive(t):
-    sets = t.orders.select(
+SELECT 1 AS id, * FROM r WHERE backup_start_date > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 2 YEAR
+"""
+
+
+def backup_sets(t):
+    return t.orders.select(
         F.col("o_orderkey").alias("backup_set_id"), F.col("o_orderkey").alias("media_set_id"),
         F.col("o_orderpriority").alias("server_name"), text("o_custkey").alias("database_name"),
-        F.col("o_orderdate").alias("backup_start_date"), F.col("o_orderstatus").alias("type"),
+        F.col("o_orderdate").alias("backup_start_date"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("backup_finish_date"), F.col("o_orderstatus").alias("type"),
+        F.when(F.col("o_orderkey") % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"),
     )
-    devices = written(t.lineitem.select(
+
+
+def backup_devices(t):
+    return written(t.lineitem.select(
         F.col("l_orderkey").alias("media_set_id"),
         F.concat(F.lit("dev_"), text("l_suppkey")).alias("physical_device_name"),
     ).distinct(), "devices")
+
+
+@check("backup_archive", ARCHIVE_SQL.format(first="backup_start_date < TIMESTAMP '1998-01-01'"))
+def backup_archive(t):
+    sets, devices = backup_sets(t), backup_devices(t)
     first = sets.filter(
         (F.col("server_name") != "1-URGENT") & (F.col("backup_start_date") < moment("1998-01-01"))
     )
@@ -131,6 +144,20 @@ def backup_archive(t):
     return fleet.backup_archive(archive, sets, devices, ORDERS_AS_OF)
 
 
+@check("collect_archive", ARCHIVE_SQL.format(first="s.backup_set_id BETWEEN 1 AND (SELECT max(o_orderkey) // 2 FROM orders)"))
+def collect_archive(t):
+    """Two runs on the stored archive; the first server joins with the second run, and a third run finds nothing new."""
+    sets, devices = backup_sets(t), backup_devices(t)
+    servers = sets.select("server_name").distinct()
+    path = workspace(t.spark, "stored_archive")
+    half = sets.filter(F.col("backup_set_id") <= t.orders.select(F.expr("max(o_orderkey) div 2")).scalar())
+    others = servers.filter(F.col("server_name") != "1-URGENT")
+    fleet.collect_archive(t.spark, path, half, devices, others, "1992-01-01 00:00:00")
+    for _ in range(2):
+        fleet.collect_archive(t.spark, path, sets, devices, servers, ORDERS_AS_OF)
+    return fleet.stored_archive(t.spark, path)
+
+
 RULES = [("ECONOMY", "FULL"), ("STANDARD", "DIFF"), ("PROMO", "LOG"), ("SMALL", "COPY")]
 
 
@@ -251,6 +278,51 @@ def integrity_collect(t):
     return details
 
 
+INTEGRITY_SQL = """
+SELECT CAST(user_id AS VARCHAR) AS server_name, event_id AS own_id, event_type AS command_type, ts AS start_time
+FROM events WHERE event_type = 'error' AND user_id % 7 <> 0 AND event_id > 0
+"""
+
+
+@check("collect_integrity", INTEGRITY_SQL)
+def collect_integrity(t):
+    """Three runs on stored details, over half of the log and twice over all of it; some servers are not listed."""
+    logs = t.events.select(
+        text("user_id").alias("server_name"), F.col("event_id").alias("own_id"),
+        F.col("event_type").alias("command_type"), F.col("ts").alias("start_time"),
+    )
+    servers = t.events.filter(F.col("user_id") % 7 != 0).select(text("user_id").alias("server_name")).distinct()
+    path = workspace(t.spark, "stored_details")
+    half = logs.filter(F.col("own_id") <= t.events.select(F.expr("max(event_id) div 2")).scalar())
+    for rows in (half, logs, logs):
+        fleet.collect_integrity(t.spark, path, rows, servers, "error")
+    return read_table(t.spark, path)
+
+
+@check("integrity_messages", """
+WITH f AS (SELECT user_id AS run_id, CASE WHEN event_id % 3 = 0 THEN 8989 ELSE 2570 END AS error,
+    CASE WHEN event_id % 5 <> 0 THEN props END AS text FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-10'),
+  r AS (SELECT DISTINCT user_id AS run_id, 'srv' || user_id % 3 AS server_name FROM events),
+  l AS (SELECT r.run_id, server_name, coalesce(error, 0) AS error, text,
+    row_number() OVER (ORDER BY r.run_id, coalesce(error, 0), text NULLS FIRST) + 99 AS id FROM r LEFT JOIN f ON r.run_id = f.run_id)
+SELECT run_id, count(*) FILTER (error <> 0) AS n_findings,
+  CASE WHEN count(*) FILTER (error <> 0) = 0 THEN '7'
+    ELSE 'Error Message: ' || (list(text ORDER BY id) FILTER (error = 8989))[1] || '; For More information - SELECT * FROM ' || server_name
+      || '.command_log WHERE id IN (' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (error <> 0) || ')' END AS message
+FROM l GROUP BY run_id, server_name
+""")
+def integrity_messages(t):
+    failed = t.events.filter((F.col("event_type") == "error") & (F.col("ts") < moment("2024-01-10")))
+    findings = failed.select(
+        F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 3 == 0, 8989).otherwise(2570).alias("error"),
+        F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("message_text"),
+    )
+    runs = t.events.select(
+        F.col("user_id").alias("run_id"), F.concat(F.lit("srv"), (F.col("user_id") % 3).cast("string")).alias("server_name")
+    ).distinct()
+    return fleet.integrity_messages(fleet.integrity_log(findings, runs, first_id=100))
+
+
 @check("disk_history", f"""
 SELECT 'nation_' || c_nationkey AS computer_name, c_name AS name, 1000000 AS size_bytes,
   CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) * 100 ELSE 0 END AS free_bytes,

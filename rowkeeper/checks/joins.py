@@ -197,6 +197,27 @@ def dense_scaffold(t):
     )
 
 
+@check("scaffold_chain", """
+SELECT r_regionkey, y, m, status, priority, size FROM region
+CROSS JOIN (SELECT unnest(range(1992, 1999)) AS y) CROSS JOIN (SELECT unnest(range(1, 13)) AS m)
+CROSS JOIN (VALUES ('F'), ('O'), ('P')) AS s(status) CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH')) AS p(priority)
+CROSS JOIN (SELECT unnest(range(1, 51)) AS size)
+WHERE (y * 12 + m) % 5 = r_regionkey AND (status <> 'P' OR m <= 6) AND size % 12 = m % 12 AND size > y - 1990
+""")
+def scaffold_chain(t):
+    """Five domains, each tested as soon as its columns are there; the last is a table of its own."""
+    sizes = t.part.select(F.col("p_size").cast("bigint")).distinct()
+    return joins.dense_scaffold(
+        t.region.select("r_regionkey"),
+        {"y": list(range(1992, 1999)), "m": list(range(1, 13)), "status": ["F", "O", "P"], "priority": ["1-URGENT", "2-HIGH"], "size": sizes},
+        when={
+            "m": (F.col("y") * 12 + F.col("m")) % 5 == F.col("r_regionkey"),
+            "status": (F.col("status") != "P") | (F.col("m") <= 6),
+            "size": (F.col("size") % 12 == F.col("m") % 12) & (F.col("size") > F.col("y") - 1990),
+        },
+    ).select("r_regionkey", F.col("y").cast("bigint").alias("y"), F.col("m").cast("bigint").alias("m"), "status", "priority", "size")
+
+
 @check("concordance_counts", """
 WITH c AS (
   SELECT a.user_id, a.event_id, a.value,

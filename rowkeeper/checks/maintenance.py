@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from rowkeeper.checks.registry import ORDERS_AS_OF, check
 from rowkeeper.operators import maintenance
+from rowkeeper.plans import stored
 from rowkeeper.session import workspace
-from rowkeeper.sources.versions import read_table
+from rowkeeper.sources.versions import publish, read_table
 from rowkeeper.sources.writers import append_table
 
 
@@ -94,6 +95,27 @@ def status_update(t):
     return maintenance.status_update(rows, changes, "o_orderkey", ["status", "is_selected"])
 
 
+@check("change_table", """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Booked' ELSE o_orderstatus END AS status
+FROM orders WHERE o_orderdate > TIMESTAMP '1999-01-01' - INTERVAL 4 YEAR AND o_custkey % 3 <> 0
+""")
+def change_table(t):
+    """A stored table is purged, updated and synchronised, each as one commit."""
+    path = workspace(t.spark, "changed")
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("placed"))
+    publish(rows, path)
+    stored.change_table(t.spark, path, lambda df: maintenance.retention_purge(df, "placed", 4, ORDERS_AS_OF))
+    urgent = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", F.lit("Booked").alias("status"))
+    stored.change_table(t.spark, path, lambda df: maintenance.status_update(df, urgent, "o_orderkey", ["status"]))
+    kept = t.orders.filter((F.col("o_custkey") % 3 != 0) & (F.col("o_orderdate") > F.lit("1995-01-01").cast("timestamp_ntz")))
+    source = kept.join(read_table(t.spark, path).select("o_orderkey", "status"), "o_orderkey").select("o_orderkey", "status")
+    stored.change_table(
+        t.spark, path,
+        lambda df: maintenance.synced_table(maintenance.full_sync(df.drop("placed"), source, ["o_orderkey"], ["status"])),
+    )
+    return read_table(t.spark, path)
+
+
 @check("disable_rules", """
 WITH f AS (SELECT DISTINCT p_brand, p_type, p_size FROM part WHERE p_retailprice > 2000 OR p_name LIKE 'red%')
 SELECT p.p_partkey, p.p_brand, p.p_type, p.p_size, CASE WHEN f.p_brand IS NOT NULL THEN 'Disabled' ELSE 'Enabled' END AS status

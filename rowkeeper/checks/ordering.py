@@ -94,6 +94,19 @@ def kth_row(t):
     return ordering.kth_row(rows, ["-o_totalprice", "o_orderkey"], 3, ["o_custkey"])
 
 
+@check("kth_row_far", """
+SELECT l_returnflag, l_orderkey, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipmode DESC, l_partkey, l_orderkey DESC, l_linenumber) AS rn FROM (
+    SELECT l_returnflag, l_shipdate::VARCHAR AS l_shipmode, l_partkey, l_orderkey, l_linenumber FROM lineitem))
+WHERE rn = 1500
+""")
+def kth_row_far(t):
+    """A place beyond the group limit in an order of both directions, text among them."""
+    rows = t.lineitem.select("l_returnflag", F.col("l_shipdate").cast("string").alias("l_shipmode"), "l_partkey", "l_orderkey", "l_linenumber")
+    found = ordering.kth_row(rows, ["-l_shipmode", "l_partkey", "-l_orderkey", "l_linenumber"], 1500, ["l_returnflag"])
+    return found.select("l_returnflag", "l_orderkey", "l_linenumber")
+
+
 @check("multi_key_sort", """
 SELECT n_name, n_customers, row_number() OVER (ORDER BY n_customers DESC, n_name) AS rank
 FROM (SELECT n_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)
@@ -104,7 +117,8 @@ def multi_key_sort(t):
     return ordering.multi_key_sort(named, ["-n_customers", "n_name"])
 
 
-REFERENCE = ["3-MEDIUM", "1-URGENT", "5-LOW"]
+# The second mention of an item says nothing.
+REFERENCE = ["3-MEDIUM", "1-URGENT", "5-LOW", "1-URGENT"]
 
 
 @check("custom_order", """

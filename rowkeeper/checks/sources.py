@@ -121,6 +121,26 @@ def json_flatten(t):
     return readers.json_flatten(documents, "config", DEPLOY_CONFIG, ["Servers", "Databases"], ["c_custkey"])
 
 
+@check("json_rejects", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'no items' ELSE 'missing' END AS reason,
+  CASE o_orderkey % 4 WHEN 1 THEN '{"Environment": "' || o_orderpriority || '", "Servers": [{"Databases": [{"Name": "a"}'
+    WHEN 2 THEN '{"Environment": "' || o_orderpriority || '", "Servers": [{"Databases": []}]}' END AS config
+FROM orders WHERE o_orderkey % 4 <> 0
+""")
+def json_rejects(t):
+    """Documents that are cut off, hold nothing or are missing."""
+    def document(end):
+        return F.concat(F.lit('{"Environment": "'), "o_orderpriority", F.lit(f'", "Servers": [{{"Databases": [{end}'))
+
+    kind = F.col("o_orderkey") % 4
+    config = (
+        F.when(kind == 0, document('{"Name": "a"}]}]}')).when(kind == 1, document('{"Name": "a"}')).when(kind == 2, document("]}]}"))
+    )
+    documents = t.orders.select("o_orderkey", config.alias("config"))
+    rejects = readers.json_rejects(documents, "config", DEPLOY_CONFIG, ["Servers", "Databases"], ["o_orderkey"])
+    return rejects.select("o_orderkey", "reason", "config")
+
+
 @check("json_field", """
 SELECT event_type, count(*) AS n_events, CAST(sum(k) AS BIGINT) AS sum_k, round(avg(k), 6) AS avg_k
 FROM (SELECT event_type, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER) AS k FROM events)
@@ -196,6 +216,20 @@ def staged_insert(t):
     return t.spark.read.schema(rows.drop("o_orderstatus").schema).parquet(path)
 
 
+@check("staged_insert_bounded", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def staged_insert_bounded(t):
+    """Batches of growing keys that overlap by a third: the target is read only where a batch's keys lie."""
+    path = workspace(t.spark, "staged_bounded")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    writers.append_table(rows.limit(0), path)
+    third = t.orders.select(F.expr("1 + max(o_orderkey) div 3")).scalar()
+    for i in range(3):
+        staging = rows.filter(F.col("o_orderkey").between(third * max(0, i - 1), third * (i + 1)))
+        target = t.spark.read.schema(rows.schema).parquet(path)
+        writers.append_table(writers.staged_insert(target, staging, ["o_orderkey"], bounded=["o_orderkey"]), path)
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
 @check("csv_export", "SELECT * FROM supplier")
 def csv_export(t):
     path = workspace(t.spark, "csv")

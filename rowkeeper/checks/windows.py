@@ -84,10 +84,9 @@ CIRCULAR_SQL = """
 WITH p AS (SELECT event_id, user_id, CAST(value AS DECIMAL(18,2)) AS amount,
     row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT a.event_id, a.user_id, CAST(sum(b.amount) AS DECIMAL(28,2)) AS circular
-FROM p a JOIN (VALUES {steps}) AS s(step) ON true
-JOIN p b ON a.user_id = b.user_id AND b.place = (a.place + s.step + a.n) % a.n
-WHERE a.n >= {size} GROUP BY a.event_id, a.user_id
-UNION ALL SELECT event_id, user_id, NULL FROM p WHERE n < {size}
+FROM p a CROSS JOIN (SELECT unnest(range({first}, {last} + 1)) AS step) AS s
+JOIN p b ON a.user_id = b.user_id AND b.place = ((a.place + s.step) % a.n + a.n) % a.n
+GROUP BY a.event_id, a.user_id
 """
 
 
@@ -96,16 +95,27 @@ def circle(t, k):
     return windows.circular_sum(rows, ["user_id"], ["ts"], "amount", k).select("event_id", "user_id", "circular")
 
 
-@check("circular_sum", CIRCULAR_SQL.format(steps="(1), (2), (3)", size=3))
+@check("circular_sum", CIRCULAR_SQL.format(first=1, last=3))
 def circular_sum(t):
     return circle(t, 3)
 
 
-@check("circular_sum_back", CIRCULAR_SQL.format(steps="(-1), (-2)", size=2))
+@check("circular_sum_back", CIRCULAR_SQL.format(first=-2, last=-1))
 def circular_sum_back(t):
     return circle(t, -2)
 
 
+@check("circular_sum_around", CIRCULAR_SQL.format(first=1, last=150))
+def circular_sum_around(t):
+    """Many keys have fewer rows than that, some exactly as many: whole turns count."""
+    return circle(t, 150)
+
+
+@check("circular_sum_around_back", CIRCULAR_SQL.format(first=-101, last=-1))
+def circular_sum_around_back(t):
+    return circle(t, -101)
+
+
 @check("systematic_sample", """
 SELECT user_id, event_id, value, position FROM (
   SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS position,

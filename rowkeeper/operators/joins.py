@@ -89,15 +89,16 @@ def interval_overlap(a: DataFrame, b: DataFrame, start: str, end: str, keys: lis
         )
 
     is_a, is_b = [F.when(F.col("_side") == side, 1).otherwise(0) for side in "ab"]
-    stacked = tagged("a").unionByName(tagged("b"))
-    # At equal starts a comes before b, so a pair with one start is found from its a only.
-    # The row itself ends the order: ranks must come out the same in every evaluation.
-    by_start = ordered(stacked, keys, ["_start"]).by(["_start", "_side", "_end", "_a", "_b"])
+    stacked = tagged("a").unionByName(tagged("b")).withColumn("_tie", F.xxhash64("_a", "_b"))
+    # At equal starts a comes before b, so a pair with one start is found from its a only. The tie breaker lets slices be cut
+    # inside one start; the row itself ends the order: ranks must come out the same in every evaluation.
+    cut = ["_start", "_side", "_end", "_tie"]
+    by_start = ordered(stacked, keys, cut).by([*cut, "_a", "_b"])
     placed = by_start.add(sums={"_rank_a": is_a, "_rank_b": is_b}).rows()
-    starts = stacked.select(*keys, F.col("_start").alias("_pos"), "_side", F.lit(0).alias("_kind"))
+    starts = stacked.select(*keys, F.col("_start").alias("_pos"), "_side", "_tie", F.lit(0).alias("_kind"))
     ends = placed.withColumn("_pos", F.col("_end")).withColumn("_kind", F.lit(1))
     counted = {f"_last_{s}": F.when((F.col("_side") == s) & (F.col("_kind") == 0), 1).otherwise(0) for s in sides}
-    by_end = ordered(ends.unionByName(starts, allowMissingColumns=True), keys, ["_pos"]).by(["_pos", "_kind"])
+    by_end = ordered(ends.unionByName(starts, allowMissingColumns=True), keys, ["_pos", "_kind", "_tie"])
     probes = by_end.add(sums=counted).rows().filter(F.col("_kind") == 1)
 
     def of_side(x: Column, y: Column) -> Column:
@@ -131,24 +132,40 @@ def inventory_match(files: DataFrame, history: DataFrame, path: str) -> DataFram
     )
 
 
-MAX_DOMAIN = 10_000
+SHORT_LIST = 1_000  # values that are written into the plan
 
 
 def dense_scaffold(
     base: DataFrame, domains: dict[str, list | DataFrame], facts: DataFrame | None = None, measure: str | None = None,
-    pred: Column | None = None,
+    pred: Column | None = None, when: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Each base row with every combination of small value lists, optionally only those that pass a test;
-    facts fill the measure and what has no fact gets 0. A domain of any size can be a DataFrame of one column."""
-    for name, values in domains.items():
-        if not isinstance(values, DataFrame) and len(values) > MAX_DOMAIN:
-            raise ValueError(f"domain {name} has {len(values)} values; at most {MAX_DOMAIN}")
+    """Each base row with every combination of values, optionally only those that pass a test; facts fill the measure and what
+    has no fact gets 0.
+
+    Domains are added one by one. ``when`` names, for a domain, the test of the columns that are there once it is added; it is
+    applied at once, so combinations that fail it meet no further domain. ``pred`` tests whole combinations. A domain is a list
+    of values, or a table of one column, which is joined by its test: such a domain needs one.
+    """
+    tests = dict(when or {})
     dense = base
     for name, values in domains.items():
+        test = tests.pop(name, None)
         if isinstance(values, DataFrame):
-            dense = dense.crossJoin(values.toDF(name))
+            if test is None:
+                raise ValueError(f"the table domain {name} needs a test that ties it to the columns before it")
+            dense = dense.join(values.toDF(name), test)
+            continue
+        if len(values) <= SHORT_LIST:
+            listed = F.array(*[F.lit(v) for v in values])
         else:
-            dense = dense.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+            # A list is held by the driver already; it reaches the rows as one value.
+            literal = base.sparkSession.createDataFrame([(list(values),)], ["values"])
+            listed = literal.select("values").scalar()
+        dense = dense.withColumn(name, F.explode(listed))
+        if test is not None:
+            dense = dense.filter(test)
+    if tests:
+        raise ValueError(f"tests of unknown domains: {', '.join(tests)}")
     if pred is not None:
         dense = dense.filter(pred)
     if facts is None:
@@ -174,12 +191,15 @@ def nearest_each_side(
         *keys, pos, F.lit(None).cast(probe.schema["_probe"].dataType).alias("_probe"),
         F.col(label).alias("_label"), F.lit(1).alias("_kind"),
     )
-    # At one position a probe must not meet points of that position: it sorts first in both directions.
-    stacked = probe.unionByName(point).withColumn("_back", -F.col("_kind"))
+    # At one position a probe must not meet points of that position: it sorts first in both directions. Each direction is cut along
+    # its own order, tie breakers included, so many rows at one position are no single slice.
+    stacked = probe.unionByName(point).withColumns({"_back": -F.col("_kind"), "_tie": F.xxhash64("_probe")})
     seen = F.when(F.col("_kind") == 1, F.struct(F.col(pos).alias("at"), F.col("_label").alias("label")))
-    scan = ordered(stacked, keys, [pos])
-    scan = scan.by([pos, "_kind", "_label"]).add(last={"_before": seen})
-    scan = scan.by([pos, "_back", "_label"], descending=True).add(last={"_after": seen})
+    ahead = ordered(stacked, keys, [pos, "_kind", "_label", "_tie"])
+    back = ordered(
+        ahead.add(last={"_before": seen}).rows(), keys, [pos, "_back", "_label", "_tie"], descending=True, hot=ahead.hot, probe=stacked
+    )
+    scan = back.add(last={"_after": seen})
     known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])  # As in a join, null meets nothing.
     before = F.when(known & (F.col(pos) - F.col("_before")["at"] < limit), F.col("_before"))
     after = F.when(known & (F.col("_after")["at"] - F.col(pos) < limit), F.col("_after"))

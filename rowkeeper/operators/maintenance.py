@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowkeeper.operators.filters import moment
@@ -18,15 +18,26 @@ from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import replace_table
 
 
+def single(df: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """The rows with a true column ``mark``, which raises an error for a key that occurs twice; null keys match nothing and may repeat.
+
+    The count shares its shuffle with the join on these keys that follows.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    doubled = known & (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    text = F.concat(F.lit(f"several source rows for the key ({', '.join(keys)}) = "), F.to_json(F.struct(*keys)))
+    return df.withColumn(mark, F.when(doubled, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+
+
 def full_sync(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
     """Make the target hold exactly the keys of the source.
 
     Rows carry an ``action``: update, insert or delete; the new table is everything but the deletes. Columns that
     only the target has keep their value on a match and are null on an insert. A null in the source
-    overwrites. Keys are unique on both sides.
+    overwrites. A source key that occurs twice is an error, as it is for MERGE; target rows of one key are all updated.
     """
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
-    s = source.select(*keys, *update_cols).withColumn("_in_source", F.lit(True)).alias("s")
+    s = single(source.select(*keys, *update_cols), keys, "_in_source").alias("s")
     match = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     in_source = F.col("s._in_source").isNotNull()
     action = F.when(~in_source, "delete").when(F.col("t._in_target").isNull(), "insert").otherwise("update")
@@ -60,8 +71,8 @@ def retention_purge(df: DataFrame, ts: str, years: int, as_of: str) -> DataFrame
 
 
 def status_update(df: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Set columns for the keys of a change set with one row per key; a null in the change set is written too."""
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_changed", F.lit(1))
+    """Set columns for the keys of a change set; a null in the change set is written too. A key with two changes is an error."""
+    renamed = single(changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]), [key], "_changed")
     joined = df.join(renamed, key, "left")
 
     def updated(c: str):
@@ -90,10 +101,17 @@ def target_copy(spark: SparkSession, path: str, target: str, value) -> DataFrame
     return read_table(spark, path).filter(F.col(target) == value)
 
 
-def incremental_rows(batch: DataFrame, marks: DataFrame, source: str, id: str) -> DataFrame:
-    """Rows above the mark of their source; a source without a mark starts at 0."""
-    joined = skew_join(batch, marks.select(source, "mark"), [source], "left")
-    return joined.filter(F.col(id) > F.coalesce(F.col("mark"), F.lit(0))).select(*batch.columns)
+def incremental_rows(batch: DataFrame, marks: DataFrame, source: str, id: str, listed: bool = False) -> DataFrame:
+    """Rows above the mark of their source; a source without a mark starts at 0, a null mark is 0.
+
+    With ``listed`` only the sources in ``marks`` are collected. No row at or below the least mark can be new then, and that
+    bound reaches the scan of the batch, so files and row groups of old rows are not read.
+    """
+    mark = F.coalesce(F.col("mark").cast("bigint"), F.lit(0))
+    if listed:
+        batch = batch.filter(F.col(id) > marks.agg(F.min(mark)).scalar())
+    joined = skew_join(batch, marks.select(source, "mark"), [source], "inner" if listed else "left")
+    return joined.filter(F.col(id) > mark).select(*batch.columns)
 
 
 def incremental_append(loaded: DataFrame, batch: DataFrame, marks: DataFrame, source: str, id: str) -> DataFrame:

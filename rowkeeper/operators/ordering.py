@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeeper.operators.filters import eligible_rows
-from rowkeeper.plans.ordered import ordered, ranked
+from rowkeeper.plans.ordered import ordered, ranked, sort_columns
 from rowkeeper.sources.readers import inline_rows
 
 # Up to this many rows per key Spark cuts each key before the shuffle, so a hot key stays small.
@@ -40,21 +40,16 @@ def sample_per_source(df: DataFrame, source: str, order: list[str], n: int) -> D
 
 
 def kth_row(df: DataFrame, order: list[str], k: int, keys: list[str] | None = None) -> DataFrame:
-    """The k-th row overall or per key; a leading ``-`` on an order column means descending."""
-    sort = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    """The k-th row overall or per key; a leading ``-`` on an order column means descending.
+
+    Nulls come first upward and last downward. Beyond GROUP_LIMIT a hot key is cut along the order into slices, so no task sorts it.
+    """
     if keys is None:
-        return df.orderBy(*sort).offset(k - 1).limit(1)
-    downward = [c.startswith("-") for c in order]
-    if k > GROUP_LIMIT and not any(downward):
-        placed = ordered(df, keys, order).add(position="_place").rows()
-        return placed.filter(F.col("_place") == k).drop("_place")
-    if k > GROUP_LIMIT and all(downward):
-        # Nulls come first upward and last downward, so places are counted from the other end.
-        placed = ordered(df, keys, [c[1:] for c in order]).add(position="_place", total="_n").rows()
-        return placed.filter(F.col("_n") - F.col("_place") + 1 == k).drop("_place", "_n")
-    # Mixed directions with a large k come here too; a hot key is then sorted in one task.
+        return df.orderBy(*sort_columns(order)).offset(k - 1).limit(1)
+    if k > GROUP_LIMIT:
+        return ordered(df, keys, order).add(position="_place").rows().filter(F.col("_place") == k).drop("_place")
     # Keep "<= k" apart from "== k": the first is what Spark applies before the shuffle.
-    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
     return placed.filter(F.col("_place") <= k).filter(F.col("_place") == k).drop("_place")
 
 
@@ -63,9 +58,13 @@ def multi_key_sort(df: DataFrame, order: list[str], out: str = "rank") -> DataFr
 
 
 def custom_order(df: DataFrame, col: str, reference: list, tie: list[str], out: str = "rank") -> DataFrame:
-    """Order by the place in a reference list; unlisted values come last in their original order."""
+    """Order by the place in a reference list; unlisted values come last in their original order.
+
+    An item that the list names twice has its first place.
+    """
     kind = df.schema[col].dataType.simpleString()
-    places = inline_rows(df.sparkSession, list(zip(reference, range(len(reference)))), f"_item {kind}, _place int")
+    first = {item: place for place, item in reversed(list(enumerate(reference)))}
+    places = inline_rows(df.sparkSession, list(first.items()), f"_item {kind}, _place int")
     placed = df.join(places, df[col] == places["_item"], "left")
     placed = placed.withColumn("_place", F.coalesce("_place", F.lit(len(reference)))).drop("_item")
     return ranked(placed, ["_place", *tie], out).drop("_place")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeeper.plans.ordered import ordered
 
-CIRCLE_CHUNK = 1_000_000
-
 
 def retention_candidates(
     df: DataFrame, keys: list[str], ts: str, id: str, type: str, full: str, types: list[str], keep: int
@@ -51,7 +49,7 @@ def drop_top_counts(df: DataFrame, value: str, top: int = 2) -> DataFrame:
     """Values with their counts, without all values that share a count of the first ``top`` ones."""
     counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     first = counted.orderBy(F.desc("n"), value).limit(top).select("n")
-    return counted.join(F.broadcast(first), "n", "left_anti").select(value, "n")
+    return counted.join(first, "n", "left_anti").select(value, "n")
 
 
 def island_heads(cells: DataFrame, row: str, col: str) -> DataFrame:
@@ -107,38 +105,61 @@ def run_changes(df: DataFrame, keys: list[str], order: list[str], col: str, star
     return scan.rows().groupBy(*keys).agg(F.sum(changed).alias("n_changes"))
 
 
-def circular_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, k: int, out: str = "circular",
-    chunk: int = CIRCLE_CHUNK,
-) -> DataFrame:
+def circular_sum(df: DataFrame, keys: list[str], order: list[str], value: str, k: int, out: str = "circular") -> DataFrame:
     """Sum of the next k values of a closed circle, or of the previous -k; 0 gives zeros.
 
-    The circle is cut into chunks of positions; each chunk also gets the |k| rows before or after it.
-    |k| may be at most the size of the smallest key, else the sum is null.
+    A circle is passed as often as |k| asks for: whole turns are multiples of the key's total, and the rest is a difference
+    of running sums, one of them at another place. That place is reached by a second scan in which each row asks at the place it
+    needs, so the cost does not depend on k. As in a plain sum nulls count nothing, and nothing but nulls gives null. Sums of
+    floating point values carry the rounding of the running sums; decimals are exact.
     """
-    reach = abs(k)
-    zero = F.lit(0).cast(df.select(F.sum(value)).schema[0].dataType)
+    kind = df.select(F.sum(value)).schema[0].dataType
     if k == 0:
-        return df.withColumn(out, zero)
-    chunk = max(chunk, reach)
-    placed = ordered(df, keys, order).add(position="_pos", total="_n").rows()
-    # Virtual positions: rows close to the seam appear a second time beyond the other end.
+        return df.withColumn(out, F.lit(0).cast(kind))
+    known = F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    first = ordered(df, keys, order).add(
+        position="_pos", total="_n", sums={"_sum": F.col(value), "_known": known},
+        wholes={"_sum_all": F.col(value), "_known_all": known},
+    )
+    zero = F.lit(0).cast(kind)
+    placed = first.rows().withColumns({
+        "_sum": F.coalesce("_sum", zero), "_sum_all": F.coalesce("_sum_all", zero),
+        "_turns": F.expr(f"{abs(k)} div _n"), "_rest": F.lit(abs(k)) % F.col("_n"),
+    })
     if k > 0:
-        copies = F.when(F.col("_pos") <= reach, F.array("_pos", F.col("_pos") + F.col("_n")))
-        frame = (1, reach)
-        shifts = [0, -reach]
+        # From behind the row up to the place; past the seam it is the rest of the circle and its beginning.
+        there = (F.col("_pos") + F.col("_rest") - 1) % F.col("_n") + 1
+        seam = F.col("_pos") + F.col("_rest") > F.col("_n")
+        own = {"sum": F.col("_sum"), "known": F.col("_known")}
     else:
-        copies = F.when(F.col("_pos") > F.col("_n") - reach, F.array("_pos", F.col("_pos") - F.col("_n")))
-        frame = (-reach, -1)
-        shifts = [0, reach]
-    at = placed.withColumn("_at", F.explode(F.coalesce(copies, F.array("_pos"))))
-    chunks = F.array_distinct(F.array(*[F.floor((F.col("_at") - 1 + s) / chunk) for s in shifts]))
-    spread = at.withColumn("_chunk", F.explode(chunks))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(*frame)
-    summed = spread.withColumn(out, F.sum(value).over(w))
-    own = (F.col("_at") == F.col("_pos")) & (F.floor((F.col("_pos") - 1) / chunk) == F.col("_chunk"))
-    whole = F.when(F.col("_n") >= reach, F.col(out))
-    return summed.filter(own).withColumn(out, whole).drop("_pos", "_n", "_at", "_chunk")
+        # From behind the place up to the row before.
+        back = F.col("_pos") - 1 - F.col("_rest")
+        there = F.when(back < 0, back + F.col("_n")).otherwise(back)
+        seam = back < 0
+        own = {"sum": F.col("_sum") - F.coalesce(value, F.lit(0)), "known": F.col("_known") - known}
+    row = F.struct(*[F.col(c) for c in df.columns])
+    asked = F.struct(
+        row.alias("row"), seam.alias("seam"), own["sum"].alias("sum"), own["known"].alias("known"), F.col("_turns").alias("turns"),
+        F.col("_sum_all").alias("sum_all"), F.col("_known_all").alias("known_all"),
+    )
+    told = F.struct(F.col("_sum").alias("sum"), F.col("_known").alias("known"))
+    # Two rows per row: what it tells at its own place, and what it asks at another one; telling comes first.
+    step = F.explode(F.array(F.struct(F.col("_pos").alias("at"), F.lit(0).alias("asks")), F.struct(there.alias("at"), F.lit(1).alias("asks"))))
+    both = placed.select("*", step.alias("_step")).select(
+        *keys, F.col("_step.at").alias("_at"), F.col("_step.asks").alias("_asks"),
+        F.when(F.col("_step.asks") == 0, told).alias("_told"), F.when(F.col("_step.asks") == 1, asked).alias("_asked"),
+    )
+    second = ordered(both, keys, ["_at"], hot=first.hot).by(["_at", "_asks"]).add(last={"_there": F.col("_told")})
+    answered = second.rows().filter(F.col("_asks") == 1)
+
+    def part(name: str, nothing: Column) -> Column:
+        at_place = F.coalesce(F.col("_there")[name], nothing)
+        apart = at_place - F.col("_asked")[name] if k > 0 else F.col("_asked")[name] - at_place
+        once = F.when(F.col("_asked.seam"), F.col("_asked")[f"{name}_all"]).otherwise(nothing)
+        return apart + once + F.col("_asked.turns") * F.col("_asked")[f"{name}_all"]
+
+    found = F.when(part("known", F.lit(0).cast("bigint")) > 0, part("sum", zero).cast(kind))
+    return answered.select("_asked.row.*", found.alias(out))
 
 
 def systematic_sample(

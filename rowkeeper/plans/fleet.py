@@ -14,11 +14,14 @@ from rowkeeper.operators.joins import directory_lookup, semi_join
 from rowkeeper.operators.maintenance import incremental_rows, retention_purge
 from rowkeeper.operators.ordering import sample_per_source
 from rowkeeper.operators.reshape import membership_diff, nested_explode_report, unpivot_columns
+from rowkeeper.plans.ordered import ranked
 from rowkeeper.plans.skew import skew_join
+from rowkeeper.plans.stored import collect_new, month_of, purge_months
 from rowkeeper.schemas import (
-    ACTION_FAILED, ARCHIVE_YEARS, CAPPED_ACTIONS, DEPLOY_CONFIG, DRY_RUN_LINE, MAX_COPY_MB,
+    ACTION_FAILED, ALLOCATION_ERROR, ARCHIVE_YEARS, CAPPED_ACTIONS, CHECK_OK, DEPLOY_CONFIG, DRY_RUN_LINE, MAX_COPY_MB,
 )
-from rowkeeper.sources.readers import collect_union, file_inventory, json_flatten
+from rowkeeper.sources.readers import collect_union, file_inventory, json_flatten, json_rejects
+from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import csv_export, replace_table, staged_insert
 
 
@@ -81,26 +84,51 @@ def pii_content(df: DataFrame, text: str, patterns: dict[str, str], by: list[str
     return report.withColumn("hit_rate", F.round(F.col("n_rows_hit") / F.nullif("n_rows", F.lit(0)), 6))
 
 
+ARCHIVE_COLUMNS = [
+    "id", "backup_set_id", "server_name", "database_name", "physical_device_name", "backup_start_date", "backup_finish_date",
+    "type", "recovery_model",
+]
+
+
 def archive_rows(sets: DataFrame, media: DataFrame) -> DataFrame:
-    return skew_join(media, sets, ["media_set_id"]).select(
-        "backup_set_id", "server_name", "database_name", "physical_device_name", "backup_start_date", "type",
-    )
+    """Sets with their devices in the columns of the archive; ``id`` is 1, as the archive numbers its rows itself."""
+    return skew_join(media, sets, ["media_set_id"]).withColumn("id", F.lit(1)).select(*ARCHIVE_COLUMNS)
 
 
 def backup_archive(
     archive: DataFrame, sets: DataFrame, media: DataFrame, as_of: str, years: int = ARCHIVE_YEARS,
-    marks: DataFrame | None = None,
+    marks: DataFrame | None = None, listed: bool = False,
 ) -> DataFrame:
     """The central archive after one collection: new sets per server, then retention.
 
-    Only sets above the mark meet the media table. Give ``marks`` when they are kept as a table.
+    Only sets above the mark meet the media table. Give ``marks`` when they are kept as a table; with ``listed`` that table lists all
+    servers and the scan starts at the least mark. ``collect_archive`` does the same on a stored archive and writes only new rows.
     """
     if marks is None:
         marks = high_water_mark(sets.select("server_name").distinct(), archive, "server_name", "backup_set_id")
-    new = incremental_rows(sets, marks, "server_name", "backup_set_id")
+    new = incremental_rows(sets, marks, "server_name", "backup_set_id", listed)
     return retention_purge(archive.unionByName(archive_rows(new, media)), "backup_start_date", years, as_of)
 
 
+def collect_archive(
+    spark: SparkSession, path: str, sets: DataFrame, media: DataFrame, servers: DataFrame, as_of: str, years: int = ARCHIVE_YEARS
+) -> None:
+    """One run of the archive on its stored table: sets of the listed servers above their marks are added, then old months go.
+
+    The archive lies in folders by month of ``backup_start_date``; a run writes the new rows and the month of the limit, no others.
+    """
+    def shape(new: DataFrame) -> DataFrame:
+        return archive_rows(new, media).withColumn("month", month_of(F.col("backup_start_date")))
+
+    keys = ["server_name", "backup_set_id", "physical_device_name"]
+    collect_new(spark, path, sets, servers, "server_name", "backup_set_id", keys, shape, "month")
+    purge_months(spark, path, "month", "backup_start_date", years, as_of)
+
+
+def stored_archive(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path).select(*ARCHIVE_COLUMNS)
+
+
 def rule_or_default(jobs: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The rule text of each job; a job whose rule is not configured gets the default one and a flag."""
     return skew_join(jobs, rules.select("backup_rule", "rule_text"), ["backup_rule"], "left").withColumn(
@@ -142,10 +170,12 @@ def job_outcome(jobs: DataFrame, attempts: DataFrame, as_of: str) -> DataFrame:
 
 
 def alert_rows(failures: DataFrame, recipients: DataFrame, kind: str) -> DataFrame:
-    """Message rows for failures: recipients by notification type, subject and body."""
-    to = recipients.filter((F.col("key_code") == "mail") & (F.col("key_description") == kind))
+    """Message rows for failures: recipients by notification type (of several rows all, in order), subject and body."""
+    to = recipients.filter((F.col("key_code") == "mail") & (F.col("key_description") == kind) & F.col("key_value").isNotNull())
+    # A few rows of configuration.
+    every = to.agg(F.nullif(F.array_join(F.array_sort(F.collect_set("key_value")), ";"), F.lit("")).alias("all"))
     return failures.select(
-        to.agg(F.min("key_value")).scalar().alias("recipients"),
+        every.scalar().alias("recipients"),
         F.format_string("Error detected for %s", "server_name").alias("subject"),
         F.format_string("Database %s: %s", "database_name", "error_message").alias("body"),
         F.lit("High").alias("importance"),
@@ -182,6 +212,46 @@ def integrity_collect(details: DataFrame, logs: DataFrame, kind: str) -> DataFra
     return details.unionByName(staged_insert(details, staging, ["server_name", "own_id"]))
 
 
+def collect_integrity(spark: SparkSession, path: str, logs: DataFrame, servers: DataFrame, kind: str) -> None:
+    """``integrity_collect`` on stored details: adds the new rows of the listed servers and writes no others."""
+    wanted = logs.filter(F.col("command_type") == kind)
+    collect_new(spark, path, wanted, servers, "server_name", "own_id", ["server_name", "own_id"])
+
+
+def integrity_log(findings: DataFrame, runs: DataFrame, first_id: int = 1) -> DataFrame:
+    """Log rows of integrity checks: one per finding, and for a check without findings one with error 0 and no text.
+
+    ``findings`` and ``runs`` share ``run_id``; a run has the columns of the log but for its findings. Rows are numbered from
+    ``first_id`` by run, error and text.
+    """
+    found = findings.select("run_id", F.col("error").alias("error_number"), F.col("message_text").alias("error_message"))
+    rows = runs.join(found, "run_id", "left").withColumn("error_number", F.coalesce("error_number", F.lit(0)))
+    numbered = ranked(rows, ["run_id", "error_number", "error_message"], "id")
+    return numbered.withColumn("id", F.col("id") + (first_id - 1))
+
+
+def integrity_messages(log: DataFrame) -> DataFrame:
+    """One message per check from its log rows: the check's result code when it found nothing, else the text of its allocation
+    error and the ids of its log rows.
+
+    A check that found other errors only, or an allocation error without a text, has a null message. Of several allocation
+    errors the one with the lowest log id tells. A message is one value, so it holds all ids of its check; they are put
+    together from parts (see ``joined_parts``), so a check with very many findings is not sorted by one task.
+    """
+    found = F.col("error_number") != 0
+    told = log.groupBy("run_id", "server_name").agg(
+        F.count_if(found).alias("n_findings"),
+        F.min_by(F.struct(F.col("error_message").alias("text")), F.when(F.col("error_number") == ALLOCATION_ERROR, F.col("id"))).alias("_first"),
+    )
+    parts = joined_parts(log.filter(found).select("run_id", "id"), ["run_id"], "id", ["id"], ",")
+    ids = parts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("part", "items"))).alias("_parts")).select(
+        "run_id", F.array_join("_parts.items", ",").alias("_ids")
+    )
+    where = F.concat(F.lit("; For More information - SELECT * FROM "), "server_name", F.lit(".command_log WHERE id IN ("), "_ids", F.lit(")"))
+    message = F.when(F.col("n_findings") == 0, F.lit(str(CHECK_OK))).otherwise(F.concat(F.lit("Error Message: "), F.col("_first.text"), where))
+    return told.join(ids, "run_id", "left").select("run_id", "n_findings", message.alias("message"))
+
+
 def disk_history(history: DataFrame, probe: DataFrame, as_of: str) -> DataFrame:
     """Capacity history with one more probe, stamped and with its free share."""
     stamped = probe.withColumn("time", moment(as_of)).withColumn(
@@ -218,17 +288,22 @@ def deploy_plan(
     return checked.withColumn("command_line", line)
 
 
+def deploy_rejects(config: DataFrame, col: str = "config", keep: list[str] | None = None) -> DataFrame:
+    """The deployment documents that give no action row, with their text and the reason."""
+    return json_rejects(config, col, DEPLOY_CONFIG, ["Servers", "Databases"], keep)
+
+
 def folder_size_mb(spark: SparkSession, path: str) -> float:
     total = file_inventory(spark, path).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n")).first().n
     return total / 1_000_000
 
 
-def table_clone(df: DataFrame, path: str, mode: str, size_mb: float = 0.0, cap: float = MAX_COPY_MB) -> None:
-    """Write an empty table of the same schema, or a full copy when the size allows it."""
+def table_clone(df: DataFrame, path: str, mode: str, size_mb: float = 0.0, cap: float | None = None) -> None:
+    """Write an empty table of the same schema, or a full copy, unless ``size_mb`` is above a given ``cap``."""
     if mode == "schema":
         replace_table(df.limit(0), path)
     elif mode == "full":
-        if size_mb > cap:
+        if cap is not None and size_mb > cap:
             raise ValueError(f"{size_mb} MB is too big for a full copy")
         replace_table(df, path)
     else:

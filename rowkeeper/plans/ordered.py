@@ -31,6 +31,31 @@ SEED = 7
 SLICE = "_slice"
 
 
+def column_of(c: str) -> str:
+    return c[1:] if c.startswith("-") else c
+
+
+def is_down(c: str) -> bool:
+    """Whether a leading ``-`` asks for descending order; nulls come first upward and last downward."""
+    return c.startswith("-")
+
+
+def sort_columns(order: list[str], reverse: bool = False) -> list[Column]:
+    return [F.desc(column_of(c)) if is_down(c) != reverse else F.asc(column_of(c)) for c in order]
+
+
+def not_after(cut: Column, names: list[str], order: list[str]) -> Column:
+    """Whether a cut (a struct with these fields) is at or before the row, in an order that has a direction per column."""
+    found = F.lit(True)
+    for name, c in reversed(list(zip(names, order))):
+        a, b = cut[name], F.col(column_of(c))
+        low, high = (b, a) if is_down(c) else (a, b)
+        # Upward a null is before everything, downward after.
+        before = (low.isNull() & high.isNotNull()) | F.coalesce(low < high, F.lit(False))
+        found = before | (a.eqNullSafe(b) & found)
+    return found
+
+
 def hot_rows_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
@@ -62,23 +87,32 @@ def cut_points(
 ) -> list[tuple]:
     """(key hash, values of the order columns as text) that cut each hot key into equally filled slices.
 
-    The sample has CUTS_SAMPLE rows per slice, so its size is bounded like the slices.
+    Cuts are quantiles weighted by how often a value was met, so a value that fills slices alone has its own; give
+    tie breakers in the order to cut inside it. The sample has CUTS_SAMPLE rows per slice, so its size is bounded like the slices.
     """
     fraction = min(1.0, CUTS_SAMPLE / slice_rows)
-    sampled = rows.select(key_hash(keys).alias("key_hash"), *order)
+    columns = [column_of(c) for c in order]
+    sampled = rows.select(key_hash(keys).alias("key_hash"), *columns)
     if fraction < 1.0:
         sampled = sampled.sample(fraction, SEED)
     # One row per hot key.
     wanted = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "key_hash bigint"))
-    values = sampled.join(wanted, "key_hash", "left_semi").distinct().orderBy("key_hash", *order).select(
-        "key_hash", *[F.col(c).cast("string") for c in order]
+    counted = sampled.join(wanted, "key_hash", "left_semi").groupBy("key_hash", *columns).agg(F.count(F.lit(1)).alias("_met"))
+    values = counted.orderBy("key_hash", *sort_columns(order)).select(
+        "key_hash", "_met", *[F.col(c).cast("string") for c in columns]
     ).collect()
     found = []
     for hashed, group in groupby(values, key=lambda row: row.key_hash):
         members = list(group)
-        slices = math.ceil(hot[hashed] / slice_rows)
-        step = max(1, len(members) // slices)
-        found.append((hashed, [tuple(row)[1:] for row in members[step::step]]))
+        step = sum(row[1] for row in members) / math.ceil(hot[hashed] / slice_rows)
+        cuts, before, due = [], 0, step
+        for row in members:
+            # A cut before this value, when the slice is full or this value would fill it over by itself.
+            if before and (before >= due or before + row[1] >= due + step):
+                cuts.append(tuple(row)[2:])
+                due = before + step
+            before += row[1]
+        found.append((hashed, cuts))
     return found
 
 
@@ -92,7 +126,7 @@ def with_slices(
     most = max([len(points) for _, points in cuts], default=0)
     if most == 0:
         return df.withColumn(out, F.lit(0))  # Nothing to cut by: the keys stay whole.
-    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    kinds = [df.schema[column_of(c)].dataType.simpleString() for c in order]
     names = [f"o{i}" for i in range(len(order))]
     as_text = ", ".join(f"{n}: string" for n in names)
     typed = ", ".join(f"{n}: {kind}" for n, kind in zip(names, kinds))
@@ -100,12 +134,13 @@ def with_slices(
     table = table.withColumn("_cuts", F.col("_cuts").cast(f"array<struct<{typed}>>"))
     # At most MAX_HOT_KEYS rows, which hold MAX_SLICES points together.
     joined = df.join(F.broadcast(table), key_hash(keys) == F.col("_cut_key"), "left")
-    here = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names)])
     strides = F.array(*[F.lit(2**b) for b in reversed(range(most.bit_length()))])
     # Halving search: a stride is taken when the point it leads to is at or below the row.
     found = F.reduce(
         strides, F.lit(0),
-        lambda at, stride: F.when(F.get("_cuts", at + stride - 1) <= here, at + stride).otherwise(at),
+        lambda at, stride: F.when(
+            (at + stride <= F.size("_cuts")) & not_after(F.get("_cuts", at + stride - 1), names, order), at + stride
+        ).otherwise(at),
     )
     return joined.withColumn(out, F.when(F.col("_cuts").isNull(), 0).otherwise(found + 1)).drop("_cut_key", "_cuts")
 
@@ -129,14 +164,14 @@ class Ordered:
         return replace(self, order=list(order), descending=descending)
 
     def _sorted(self) -> list[Column]:
-        return [F.desc(c) if self.descending else F.asc(c) for c in self.order]
+        return sort_columns(self.order, self.descending)
 
-    def _carry(self, position, total, sums, previous, last) -> DataFrame:
+    def _carry(self, position, total, sums, previous, last, wholes) -> DataFrame:
         """Per hot (key, slice): what the slices before it contribute."""
-        here = F.struct(*self.order)
+        here = F.struct(*[column_of(c) for c in self.order])
         final = F.min_by if self.descending else F.max_by
         parts = [F.count(F.lit(1)).alias("_n")]
-        parts += [F.sum(e).alias(f"_sum_{name}") for name, e in sums.items()]
+        parts += [F.sum(e).alias(f"_sum_{name}") for name, e in {**sums, **wholes}.items()]
         parts += [final(F.struct(e.alias("v")), here).alias(f"_prev_{name}") for name, (e, _) in previous.items()]
         parts += [final(e, F.when(e.isNotNull(), here)).alias(f"_last_{name}") for name, e in last.items()]
         summary = self.df.filter(F.col(SLICE) > 0).groupBy(*self.keys, SLICE).agg(*parts)
@@ -150,6 +185,7 @@ class Ordered:
         if total:
             carried.append(F.sum("_n").over(every).alias("_c_total"))
         carried += [F.sum(f"_sum_{name}").over(before).alias(f"_c_sum_{name}") for name in sums]
+        carried += [F.sum(f"_sum_{name}").over(every).alias(f"_c_whole_{name}") for name in wholes]
         carried += [F.lag(f"_prev_{name}").over(along).alias(f"_c_prev_{name}") for name in previous]
         carried += [F.last(f"_last_{name}", True).over(before).alias(f"_c_last_{name}") for name in last]
         return summary.select(*carried)
@@ -161,16 +197,19 @@ class Ordered:
         sums: dict[str, Column] | None = None,
         previous: dict[str, tuple[Column, Column]] | None = None,
         last: dict[str, Column] | None = None,
+        wholes: dict[str, Column] | None = None,
     ) -> "Ordered":
         """Add columns: 1-based position, rows of the key, running sums up to the row,
-        value of the row before (with a default for the first row), and latest value
-        that is not null up to the row.
+        value of the row before (with a default for the first row), latest value
+        that is not null up to the row, and sums over the key.
         """
-        sums, previous, last = sums or {}, previous or {}, last or {}
+        sums, previous, last, wholes = sums or {}, previous or {}, last or {}, wholes or {}
+        if (previous or last) and any(map(is_down, self.order)):
+            raise ValueError("values of other rows need an order of one direction")
         df, group, carried_columns = self.df, list(self.keys), []
         if self.sliced:
             group.append(SLICE)
-            carry = self._carry(position, total, sums, previous, last)
+            carry = self._carry(position, total, sums, previous, last, wholes)
             carried_columns = carry.columns
             match = [df[k].eqNullSafe(carry[f"_c_key_{i}"]) for i, k in enumerate(self.keys)]
             match.append(df[SLICE] == carry["_c_slice"])
@@ -194,6 +233,8 @@ class Ordered:
             here = F.sum(e).over(running)
             carry_in = F.col(f"_c_sum_{name}")
             added[name] = F.coalesce(here + carry_in, here, carry_in) if self.sliced else here
+        for name, e in wholes.items():
+            added[name] = carried(f"_c_whole_{name}", F.sum(e).over(whole))
         for name, (e, default) in previous.items():
             first = default
             if self.sliced:
@@ -214,7 +255,7 @@ def ordered(
     df: DataFrame, keys: list[str], order: list[str], descending: bool = False, hot: dict[int, float] | None = None,
     probe: DataFrame | None = None,
 ) -> Ordered:
-    """Prepare a table for ordered work; the order should be total inside a key.
+    """Prepare a table for ordered work; the order should be total inside a key. A leading ``-`` on a column means descending.
 
     Looks at a sample of the keys first, unless the hot ones are given. No keys means one sequence
     over the whole table. ``probe`` is a cheaper frame with the same keys and order columns to sample from.
@@ -228,16 +269,5 @@ def ordered(
 
 
 def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Number all rows in one sequence, without a single sorting task.
-
-    A leading ``-`` on a numeric column means descending.
-    """
-    columns, negated = [], {}
-    for i, name in enumerate(order):
-        if name.startswith("-"):
-            negated[f"_neg_{i}"] = -F.col(name[1:])
-            columns.append(f"_neg_{i}")
-        else:
-            columns.append(name)
-    prepared = df.withColumns(negated) if negated else df
-    return ordered(prepared, [], columns).add(position=out).rows().drop(*negated)
+    """Number all rows in one sequence, without a single sorting task; a leading ``-`` on a column means descending."""
+    return ordered(df, [], order).add(position=out).rows()

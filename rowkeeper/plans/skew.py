@@ -36,7 +36,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     def with_salts(df: DataFrame) -> DataFrame:
         return df.join(table, key_hash(keys) == F.col("_salt_key"), "left").drop("_salt_key")
 
-    own = F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    # Maps have no hash; the other columns tell the rows apart.
+    hashed = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    own = F.pmod(F.xxhash64(*hashed), F.coalesce("_salts", F.lit(1))).cast("int")
     salted = with_salts(left).withColumn(SALT, own).drop("_salts")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     repeated = with_salts(right).withColumn(SALT, every).drop("_salts")

@@ -7,7 +7,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from rowkeeper.schemas import CATALOG
 
@@ -80,7 +80,7 @@ def json_field(df: DataFrame, col: str, schema: StructType | str, out: str) -> D
 def json_flatten(
     df: DataFrame, col: str, schema: StructType | str, paths: list[str], keep: list[str] | None = None
 ) -> DataFrame:
-    """Parse nested JSON text and give one row per innermost item.
+    """Parse nested JSON text and give one row per innermost item; ``json_rejects`` gives the documents that have none.
 
     ``paths`` names the array field to open on each level; the plain fields of every
     level become columns.
@@ -98,13 +98,41 @@ def json_flatten(
     return flat
 
 
+CORRUPT = "_corrupt_record"
+
+
+def json_rejects(
+    df: DataFrame, col: str, schema: StructType | str, paths: list[str], keep: list[str] | None = None
+) -> DataFrame:
+    """The documents that ``json_flatten`` makes no row of, with their text and a ``reason``.
+
+    ``missing`` is a null text, ``malformed`` one that is no JSON or does not fit the schema, ``no items`` one that fits but
+    holds nothing on the innermost level.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = StructType([*fields.fields, StructField(CORRUPT, StringType())])
+    parsed = F.from_json(F.col(col), marked, {"columnNameOfCorruptRecord": CORRUPT})
+
+    def any_item(level: Column, rest: list[str]) -> Column:
+        if not rest:
+            return F.lit(True)
+        return F.coalesce(F.exists(level[rest[0]], lambda item: any_item(item, rest[1:])), F.lit(False))
+
+    read = df.withColumn("_read", parsed)
+    reason = (
+        F.when(F.col(col).isNull(), "missing")
+        .when(F.col("_read").isNull() | F.col("_read")[CORRUPT].isNotNull(), "malformed")
+        .when(~any_item(F.col("_read"), paths), "no items")
+    )
+    return read.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(*(keep or []), col, "reason")
+
+
 def inline_rows(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
-    """A literal table. Limited in size, so joins may always broadcast it."""
-    if len(rows) > MAX_INLINE_ROWS:
-        raise ValueError(f"{len(rows)} literal rows; write a table for more than {MAX_INLINE_ROWS}")
+    """A literal table. One of at most MAX_INLINE_ROWS rows is always broadcast; of a larger one Spark checks the size."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = {field.name: [row[i] for row in rows] for i, field in enumerate(fields)}
-    return F.broadcast(spark.createDataFrame(pa.table(columns), fields))
+    table = spark.createDataFrame(pa.table(columns), fields)
+    return F.broadcast(table) if len(rows) <= MAX_INLINE_ROWS else table
 
 
 def json_documents(spark: SparkSession, path: str, out: str = "config") -> DataFrame:

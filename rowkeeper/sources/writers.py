@@ -25,13 +25,18 @@ def replace_table(df: DataFrame, path: str, partition: str | None = None) -> Non
     publish(df, path, partition, "nothing" if partition is None else "other partitions")
 
 
-def staged_insert(target: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:
+def staged_insert(target: DataFrame, staging: DataFrame, keys: list[str], bounded: list[str] | None = None) -> DataFrame:
     """Staged rows that the target does not hold yet, one per natural key.
 
-    Loading the same staging rows again adds nothing, so a rerun after a crash is safe.
+    Loading the same staging rows again adds nothing, so a rerun after a crash is safe. For keys that grow over time, name them in
+    ``bounded``: the target is then read only between the least and the greatest staged value, and these
+    bounds reach its scan, so a batch reads a part of the target that does not grow with it.
     """
     rest = [c for c in staging.columns if c not in keys]
-    new = staging.join(target.select(*keys), keys, "left_anti")
+    held = target.select(*keys)
+    for c in bounded or []:
+        held = held.filter(F.col(c).between(staging.agg(F.min(c)).scalar(), staging.agg(F.max(c)).scalar()))
+    new = staging.join(held, keys, "left_anti")
     one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else new.distinct()
     return one.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in staging.columns])
 

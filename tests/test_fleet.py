@@ -11,6 +11,7 @@ from rowkeeper.operators import aggregates, filters, maintenance, ordering, resh
 from rowkeeper.plans import fleet
 from rowkeeper.session import workspace
 from rowkeeper.sources import readers, writers
+from rowkeeper.sources.versions import read_table
 from rowkeeper.streaming.collect import stream_collect
 
 AS_OF = "2024-01-31 00:00:00"
@@ -187,21 +188,22 @@ def test_deploy_plan_keeps_duplicates_and_repeated_servers(spark):
     assert line == "-Action DetachAttach -SourceServer s -TargetServer T -Database a -NewDBName m"
 
 
-def test_table_clone_refuses_large_and_unknown(spark):
+def test_table_clone_refuses_above_a_cap_and_unknown(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):
-        fleet.table_clone(df, workspace(spark, "no"), "full", size_mb=35001)
+        fleet.table_clone(df, workspace(spark, "no"), "full", size_mb=35_001, cap=35_000)
     with pytest.raises(ValueError):
         fleet.table_clone(df, workspace(spark, "no"), "other")
+    path = workspace(spark, "large")
+    fleet.table_clone(df, path, "full", size_mb=35_001)
+    assert read_table(spark, path).count() == 3
 
 
-def test_inline_rows_and_domains_are_bounded(spark):
-    from rowkeeper.operators.joins import dense_scaffold
-
-    with pytest.raises(ValueError):
-        readers.inline_rows(spark, [(i,) for i in range(10_001)], "i int")
-    with pytest.raises(ValueError):
-        dense_scaffold(spark.range(1), {"d": list(range(10_001))})
+def test_inline_rows_of_any_size(spark):
+    for n in (10, 10_001):
+        rows = readers.inline_rows(spark, [(i,) for i in range(n)], "i int")
+        text = spark.range(20_000).join(rows, F.col("id") == F.col("i"))._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() == n and ("strategy=broadcast" in text) == (n == 10)
 
 
 def test_one_row_cross_needs_one_row(spark):

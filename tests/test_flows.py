@@ -144,14 +144,15 @@ def test_null_fields_keep_their_place(spark):
 def test_archive_over_three_runs(spark):
     """Collect, collect again, and collect after everything of one server has aged out."""
     def sets(rows):
-        return spark.createDataFrame(rows, "backup_set_id bigint, media_set_id bigint, server_name string, "
-                                           "database_name string, backup_start_date timestamp_ntz, type string")
+        whole = [(*row[:5], row[4], row[5], "FULL") for row in rows]
+        return spark.createDataFrame(whole, schemas.BACKUP_SET)
 
     old = dt.datetime(2022, 1, 31, 12)  # exactly two years
     first = [(1, 1, "s1", "a", old, "D"), (2, 2, "s1", "a", at(1), "L"), (1, 3, "s2", "b", old, "D")]
     media = spark.createDataFrame([(i, f"dev{i}") for i in range(1, 9)] + [(2, "dev2b")], schemas.MEDIA_FAMILY)
-    archive = spark.createDataFrame([], "backup_set_id bigint, server_name string, database_name string, "
-                                        "physical_device_name string, backup_start_date timestamp_ntz, type string")
+    archive = spark.createDataFrame([], "id int, backup_set_id bigint, server_name string, database_name string, physical_device_name "
+                                        "string, backup_start_date timestamp_ntz, backup_finish_date timestamp_ntz, type string, "
+                                        "recovery_model string")
     once = fleet.backup_archive(archive, sets(first), media, AS_OF)
     assert {(r.server_name, r.backup_set_id, r.physical_device_name) for r in once.collect()} == {
         ("s1", 2, "dev2"), ("s1", 2, "dev2b")
@@ -207,3 +208,67 @@ def test_housekeeping_round(spark, tmp_path):
     assert {(r.id, r.row_num, r.full_sets, r.delete_status, r.time_stamp) for r in log} == {
         (2, 2, 2, 7, AS_OF), (1, 2, 2, 7, AS_OF), (0, 3, 3, 2, AS_OF)
     }
+
+
+def test_stored_archive_over_runs_that_break(spark, monkeypatch):
+    """New rows are added, old months go, and a run that broke between rows and marks is made good by the next."""
+    from rowkeeper.plans import stored
+    from rowkeeper.sources.versions import current, publish
+
+    def sets(rows):
+        return spark.createDataFrame([(*row[:5], row[4], row[5], "FULL") for row in rows], schemas.BACKUP_SET)
+
+    def held(path):
+        return sorted((r.server_name, r.backup_set_id) for r in fleet.stored_archive(spark, path).collect())
+
+    media = spark.createDataFrame([(i, f"dev{i}") for i in range(1, 20)], schemas.MEDIA_FAMILY)
+    servers = spark.createDataFrame([("s1",), ("s2",)], "server_name string")
+    first = [
+        (1, 1, "s1", "a", dt.datetime(2021, 5, 1), "D"), (2, 2, "s1", "a", dt.datetime(2022, 1, 31, 11), "D"),
+        (3, 3, "s1", "a", dt.datetime(2022, 1, 31, 13), "D"), (1, 4, "s2", "b", at(1), "D"), (2, 5, "s2", "b", None, "D"),
+        (7, 6, "s3", "c", at(1), "D"),
+    ]
+    path = workspace(spark, "archive")
+    fleet.collect_archive(spark, path, sets(first), media, servers, AS_OF)
+    assert held(path) == [("s1", 3), ("s2", 1), ("s2", 2)]  # The server that is not listed is not collected.
+    second = first + [(4, 7, "s1", "a", at(2), "L"), (3, 8, "s2", "b", at(3), "L"), (4, 9, "s2", "b", at(4), "L")]
+    before = current(spark, path)
+
+    def publish_rows_only(df, at, *rest, **kwargs):
+        if at.endswith(".marks"):
+            raise OSError("broken")
+        return publish(df, at, *rest, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(stored, "publish", publish_rows_only)
+        with pytest.raises(OSError):
+            fleet.collect_archive(spark, path, sets(second), media, servers, AS_OF)
+    want = [("s1", 3), ("s1", 4), ("s2", 1), ("s2", 2), ("s2", 3), ("s2", 4)]
+    for _ in range(2):
+        fleet.collect_archive(spark, path, sets(second), media, servers, AS_OF)
+        assert held(path) == want
+    # Only the new rows and the month of the limit were written.
+    kept = [f for f in before.folders if not f.endswith("month=2022-01")]
+    assert kept and set(kept) <= set(current(spark, path).folders)
+    # Two years later all that is left has no time; the marks hold, so nothing returns.
+    fleet.collect_archive(spark, path, sets(second), media, servers, "2026-02-01 00:00:00")
+    assert held(path) == [("s2", 2)]
+    fleet.collect_archive(spark, path, sets(second), media, servers, "2026-02-01 00:00:00")
+    assert held(path) == [("s2", 2)]
+
+
+def test_messages_of_integrity_checks(spark):
+    runs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "run_id int, server_name string")
+    findings = spark.createDataFrame(
+        [(1, 8989, "lost page"), (1, 2570, "bad value"), (1, 8989, "other page"), (3, 2570, "bad value"), (4, 8989, None)],
+        "run_id int, error int, message_text string",
+    )
+    log = fleet.integrity_log(findings, runs, first_id=11)
+    assert sorted((r.id, r.run_id, r.error_number) for r in log.collect()) == [
+        (11, 1, 2570), (12, 1, 8989), (13, 1, 8989), (14, 2, 0), (15, 3, 2570), (16, 4, 8989)
+    ]
+    told = {r.run_id: (r.n_findings, r.message) for r in fleet.integrity_messages(log).collect()}
+    assert told == {
+        1: (3, "Error Message: lost page; For More information - SELECT * FROM a.command_log WHERE id IN (11,12,13)"),
+        2: (0, "7"), 3: (1, None), 4: (1, None),
+    }

@@ -236,14 +236,14 @@ def test_common_multiset(spark):
 @pytest.mark.parametrize(("k", "want"), [(-2, [5, 9, 12, 8]), (2, [8, 5, 9, 12]), (0, [0, 0, 0, 0]), (3, [12, 10, 16, 13])])
 def test_circular_sum(spark, k, want, hot):
     spark.conf.set("spark.rowkeeper.hotRows", hot)
-    got = windows.circular_sum(sequence(spark, [5, 7, 1, 4]), ["k"], ["i"], "v", k, chunk=2).orderBy("i").collect()
+    got = windows.circular_sum(sequence(spark, [5, 7, 1, 4]), ["k"], ["i"], "v", k).orderBy("i").collect()
     spark.conf.unset("spark.rowkeeper.hotRows")
     assert [r.circular for r in got] == want
 
 
-def test_circular_sum_single_and_too_far(spark):
+def test_circular_sum_single_and_around(spark):
     assert windows.circular_sum(sequence(spark, [7]), ["k"], ["i"], "v", 1).first().circular == 7
-    assert windows.circular_sum(sequence(spark, [7]), ["k"], ["i"], "v", 2).first().circular is None
+    assert windows.circular_sum(sequence(spark, [7]), ["k"], ["i"], "v", 2).first().circular == 14
 
 
 def test_fold_sum(spark):

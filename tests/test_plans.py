@@ -10,7 +10,7 @@ from rowkeeper import checks
 USUAL = "/root/testdata/sf0.01"
 SMALL_ONE_TASK = {
     "coverage_rank", "custom_order", "multi_key_sort", "numeric_text_sort", "oncall_notice", "sortedness_check",
-    "one_row_cross", "table_clone", "common_multiset", "alert_rows",
+    "one_row_cross", "table_clone", "common_multiset", "alert_rows", "integrity_messages", "collect_archive",
 }
 
 
@@ -74,3 +74,32 @@ def test_written_partitions_are_rebalanced(spark, tmp_path):
     replace_table(df, str(tmp_path / "t"), "p")
     assert "RebalancePartitions" in df.hint("rebalance", "p")._jdf.queryExecution().optimizedPlan().toString()
     assert read_table(spark, str(tmp_path / "t")).count() == 100
+
+
+def test_bounds_of_new_rows_reach_the_scan(spark, tmp_path):
+    """The least mark and the bounds of a staged batch are pushed to the scan of the large side."""
+    from rowkeeper.operators.maintenance import incremental_rows
+    from rowkeeper.sources.writers import staged_insert
+
+    rows = spark.range(1_000).withColumn("source", F.lit("a"))
+    rows.repartition(4).sortWithinPartitions("id").write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    marks = spark.createDataFrame([("a", 900), ("b", 950)], "source string, mark bigint")
+    new = incremental_rows(table, marks, "source", "id", listed=True)
+    assert new.count() == 99
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThan\(id,ScalarSubquery", plan(new))
+    staging = spark.range(990, 1_010).withColumn("source", F.lit("a"))
+    staged = staged_insert(table, staging, ["id"], bounded=["id"])
+    assert staged.count() == 10
+    assert re.search(r"PushedFilters: \[[^]]*(GreaterThanOrEqual\(id,ScalarSubquery.*LessThanOrEqual\(id,ScalarSubquery)", plan(staged))
+
+
+def test_a_keyed_stream_does_not_read_its_output(spark, tmp_path):
+    from rowkeeper.streaming.collect import stream_collect
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    query = stream_collect(spark, str(tmp_path / "in"), "id bigint", str(tmp_path / "out"), str(tmp_path / "ckpt"), keys=["id"])
+    query.awaitTermination()
+    text = query._jsq.explainInternal(False)
+    assert "StreamingDeduplicate" in text and str(tmp_path / "out") not in text
+    assert query.lastProgress["stateOperators"][0]["customMetrics"]["rocksdbPutCount"] >= 0 if query.lastProgress else True

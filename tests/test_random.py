@@ -86,7 +86,7 @@ def test_circular_sum(spark, either_path, k):
     rows = [(key, i, rng.randrange(50)) for key, i in keyed(rng, 200)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = {r.i: r.circular for r in windows.circular_sum(df, ["k"], ["i"], "v", k, chunk=7).collect()}
+    got = {r.i: r.circular for r in windows.circular_sum(df, ["k"], ["i"], "v", k).collect()}
     groups = {}
     for key, i, v in sorted(rows, key=lambda r: r[1]):
         groups.setdefault(key, []).append((i, v))
@@ -101,7 +101,7 @@ def test_whole_circle_is_total_minus_self(spark, either_path):
     rows = [("u", i, i * i) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
     total = sum(v for _, _, v in rows)
-    for r in windows.circular_sum(df, ["k"], ["i"], "v", 59, chunk=10).collect():
+    for r in windows.circular_sum(df, ["k"], ["i"], "v", 59).collect():
         assert r.circular == total - r.v
 
 
