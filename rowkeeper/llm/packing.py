@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkeeper.llm.common import MAX_CACHED_LENGTH, MAX_CACHED_WORDS, rows_of
+from rowkeeper.llm.common import MAX_CACHED_LENGTH, rows_of
 from rowkeeper.llm.tokens import chunks_of
 from rowkeeper.session import written
 
@@ -28,6 +28,8 @@ BUCKET_ROWS = 65_536  # pieces of one length that one task numbers
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
+HALF = 500_000  # chunks in each half of what a worker remembers
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -42,8 +44,9 @@ class Run:
 class Encoder:
     """Identifiers of texts as little-endian bytes; what the tokenizers library said of a chunk is remembered.
 
-    The chunks remembered are in two halves: when the newer one is full, it becomes the older one, from which chunks that
-    are met again move back. So frequent chunks stay.
+    Most texts are words with one space or line feed between them. Such a text is split at its spaces, and a word stands for the
+    chunk of a space and the word; other texts are cut into the chunks of ``chunks_of``. The chunks remembered are in two halves:
+    when the newer one is full, it becomes the older one, from which chunks that are met again move back. So frequent chunks stay.
     """
 
     def __init__(self, path: str):
@@ -55,52 +58,80 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token has a character per byte
         for token, at in vocabulary.items():
             self.sizes[at] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # By word after a space (or with its line feed), and by chunk as it stands.
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """New chunks. Those of white space and then something else are encoded as one text, which is quicker.
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Identifiers of new words after a space, or with their line feed. They are encoded as one text, which is quicker.
 
         No token crosses from one into the next; the bytes of the tokens tell where each ends.
         """
-        joined = [c for c in chunks if c[0].isspace() and not c[-1].isspace()]
-        alone = [c for c in chunks if not (c[0].isspace() and not c[-1].isspace())]
-        ids = np.asarray(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, "<u4")
+        joined = "".join([w if w[0] == "\n" else " " + w for w in words])
+        ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.sizes[ids])
-        bounds = np.cumsum([len(c.encode("utf-8")) for c in joined], dtype=np.int64)
+        # A space or line feed stands at the start of each word and nowhere else.
+        text = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        bounds = np.append(np.flatnonzero((text == 32) | (text == 10))[1:], len(text))
         stops = np.searchsorted(ends, bounds) + 1
-        if len(joined) and not (stops[-1] <= len(ids) and np.array_equal(ends[stops - 1], bounds)):
-            return dict(zip(chunks, self.whole(chunks)))
+        if len(bounds) != len(words) or stops[-1] > len(ids) or not np.array_equal(ends[stops - 1], bounds):
+            return self.whole([w if w[0] == "\n" else " " + w for w in words])
         data, marks = ids.tobytes(), [0, *(4 * stops).tolist()]
-        found = {c: data[i:j] for c, i, j in zip(joined, marks, marks[1:])}
-        found.update(zip(alone, self.whole(alone)))
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= MAX_CACHED_WORDS // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        chunked = [None if any(t in text for t in self.added) else chunks_of(text) for text in texts]
-        missing = set().union(*(chunks for chunks in chunked if chunks)).difference(known)
+        return [data[i:j] for i, j in zip(marks, marks[1:])]
+
+    @staticmethod
+    def _learn(held: tuple[dict, dict], wanted: set[str], find) -> tuple[tuple[dict, dict], list[str]]:
+        """The dictionaries with all wanted keys in the newer one, and the new keys that are too long to stay."""
+        if len(held[0]) >= HALF:
+            held = ({}, held[0])
+        known, older = held
+        missing = wanted.difference(known)
         again = missing.intersection(older)
-        known.update((c, older[c]) for c in again)
+        known.update([(c, older[c]) for c in again])
         new = list(missing - again)
         if new:
-            known.update(self.fresh(new))
+            known.update(zip(new, find(new)))
+        return held, [c for c in new if len(c) > MAX_CACHED_LENGTH]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain: list[list[str]] = []
+        others: list[list[str] | None] = []
+        for text in texts:
+            words: list[str] = []
+            if any(t in text for t in self.added):
+                rest = None
+            elif plainly_spaced(text):
+                words = text.replace("\n", " \n").split(" ")
+                rest = words[:1]  # nothing stands before the first word
+                del words[0]
+            else:
+                rest = chunks_of(text)
+            plain.append(words)
+            others.append(rest)
+        self.words, long_words = self._learn(self.words, set().union(*plain), self.fresh)
+        self.chunks, long_chunks = self._learn(self.chunks, set().union(*filter(None, others)), self.whole)
+        words_of, chunk_of = self.words[0].__getitem__, self.chunks[0].__getitem__
         out = [
-            self.whole([text])[0] if chunks is None else b"".join(map(known.__getitem__, chunks))
-            for text, chunks in zip(texts, chunked)
+            self.whole([text])[0] if rest is None else b"".join(map(chunk_of, rest)) + b"".join(map(words_of, words))
+            for text, words, rest in zip(texts, plain, others)
         ]
-        for chunk in new:
-            if len(chunk) > MAX_CACHED_LENGTH:
-                del known[chunk]
+        for held, long in ((self.words[0], long_words), (self.chunks[0], long_chunks)):
+            for key in long:
+                del held[key]
         return out
 
 
+def plainly_spaced(text: str) -> bool:
+    """Whether the text is words with exactly one space or line feed between them and no other white space."""
+    words = text.split()
+    spaces = text.count(" ") + text.count("\n")
+    return len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text)
+
+
 def encoder(path: str) -> Encoder:
     """One per worker."""
     if path not in _encoders:
@@ -115,11 +146,14 @@ def piece_starts(n: int, size: int) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """The token pieces of each document, with a checksum of their identifiers."""
+    """The token pieces of each document, with a checksum of their identifiers, and ``slot``, a running number in the task.
+
+    Equal rows have different slots, so no identifier gathers rows in one place.
+    """
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encode = encoder(path).encode
+        encode, slot = encoder(path).encode, 0
         for ids, texts in rows_of(batches, "id", "text"):
             rows = []
             for doc_id, encoded in zip(ids, encode([t or "" for t in texts])):
@@ -130,12 +164,14 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
                     rows.append((doc_id, piece, a, b - a, zlib.crc32(encoded[4 * a : 4 * b])))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [()] * 5
+            slots = pa.array(np.arange(slot, slot + len(rows), dtype=np.int64))
+            slot += len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                [*[pa.array(c, k) for c, k in zip(columns, kinds)], slots], ["doc_id", "piece", "start", "length", "ids_crc32", "slot"]
             )
 
     narrow = docs.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"`{text_col}` AS text")
-    return narrow.mapInArrow(cut, PIECES)
+    return narrow.mapInArrow(cut, f"{PIECES}, slot bigint")
 
 
 def best_pair(lengths: list[int], counts: Counter, room: int) -> int:
@@ -261,14 +297,17 @@ def places(runs: list[Run]) -> dict[str, np.ndarray]:
 
 
 def numbered_by_length(pieces: DataFrame, most: int) -> DataFrame:
-    """Add ``number``, from 0 within each length; a frequent length is numbered in buckets, in many tasks."""
+    """Add ``number``, from 0 within each length; a frequent length is numbered in buckets, in many tasks.
+
+    Buckets follow the slots, which are written with the pieces, so they fill evenly whatever the identifiers are.
+    """
     buckets = max(1, math.ceil(most / BUCKET_ROWS))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = pieces.withColumn("bucket", F.pmod(F.col("slot"), F.lit(buckets)))
     # A row per length and bucket.
     counted = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start", "slot")
     joined = spread.join(base, ["length", "bucket"])
     return joined.withColumn("number", F.col("base") + F.row_number().over(own) - 1).drop("bucket", "base")
 
