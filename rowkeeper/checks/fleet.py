@@ -7,9 +7,9 @@ from rowkeeper.checks.sources import CATALOG_SQL, DEPLOY_ROWS, POLICY_ROWS, POLI
 from rowkeeper.operators.filters import moment
 from rowkeeper.plans import fleet
 from rowkeeper.plans.ordered import ordered
-from rowkeeper.schemas import DEPLOY_ACTIONS, FILE_DELETED
+from rowkeeper.schemas import DEPLOY_ACTIONS, FILE_DELETED, PII_NAME_PATTERNS
 from rowkeeper.session import workspace, written
-from rowkeeper.sources.readers import catalog_columns, inline_rows
+from rowkeeper.sources.readers import column_profile, inline_rows
 from rowkeeper.sources.versions import read_table
 from rowkeeper.sources.writers import append_table
 
@@ -65,23 +65,25 @@ def freshness_snapshot(t):
     return fleet.freshness_snapshot(policies(t), history(t), media(t), EVENTS_AS_OF)
 
 
+# The tables at hand have few columns of these names, so more patterns are looked for.
+NAME_PATTERNS = [*PII_NAME_PATTERNS, "%name%", "%ACCT%", "%user%id%", "%text%"]
+
+
 @check("pii_columns", f"""
 SELECT '{EVENTS_AS_OF}' AS collection_date, 'local' AS server_name, 'main' AS db_name, 'USER_TABLE' AS object_type,
   table_name AS object_name, column_name, type_name
 FROM ({CATALOG_SQL})
-WHERE type_name <> 'int' AND (column_name ILIKE '%name%' OR column_name ILIKE '%ACCT%' OR column_name ILIKE '%user%id%'
-  OR column_name ILIKE '%text%')
+WHERE n_values > 0 AND type_name <> 'int' AND ({" OR ".join(f"column_name ILIKE '{p}'" for p in NAME_PATTERNS)})
 """)
 def pii_columns(t):
-    columns = catalog_columns(t.spark, {name: getattr(t, name) for name in TABLES})
+    """Columns that hold values under such names; what holds them is read from the rows."""
+    columns = column_profile({name: getattr(t, name) for name in TABLES}).filter("n_values > 0")
     catalog = columns.select(
         F.lit("local").alias("server_name"), F.lit("main").alias("db_name"), F.lit("USER_TABLE").alias("object_type"),
         F.col("table_name").alias("object_name"), "column_name", "type_name",
     )
     secondaries = inline_rows(t.spark, [("far", "main")], "server_name string, db_name string")
-    return fleet.pii_columns(
-        catalog, ["%name%", "%ACCT%", "%user%id%", "%text%"], EVENTS_AS_OF, ["tempdb"], ["int"], secondaries
-    )
+    return fleet.pii_columns(catalog, NAME_PATTERNS, EVENTS_AS_OF, ["tempdb"], ["int"], secondaries)
 
 
 # Kinds of personal data and their patterns.

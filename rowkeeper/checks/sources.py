@@ -61,22 +61,32 @@ def param_query(t):
 
 
 CATALOG_SQL = f"""
+WITH v AS ({" UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, column_name, n_values, (SELECT count(*) FROM {name}) AS n_rows
+  FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {name}) ON COLUMNS(*) INTO NAME column_name VALUE n_values)""" for name in TABLES)})
 SELECT table_name, column_name,
   CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
     WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS type_name,
-  CAST(ordinal_position AS BIGINT) AS ordinal
-FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{name}'" for name in TABLES)})
+  CAST(ordinal_position AS BIGINT) AS ordinal, n_rows, n_values
+FROM information_schema.columns JOIN v USING (table_name, column_name)
 """
 
 
 @check("catalog_columns", CATALOG_SQL)
 def catalog_columns(t):
-    return readers.catalog_columns(t.spark, {name: getattr(t, name) for name in TABLES})
+    return readers.column_profile({name: getattr(t, name) for name in TABLES})
 
 
-@check("file_inventory")
+@check("file_inventory", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, true AS all_sized FROM {name}" for name in TABLES
+))
 def file_inventory(t):
-    return readers.file_inventory(t.spark, t.folder)
+    """The files of all tables, put together by table."""
+    files = [readers.file_rows(getattr(t, name)).withColumn("table_name", F.lit(name)) for name in TABLES]
+    whole = files[0]
+    for more in files[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.every(F.col("size_bytes") > 0).alias("all_sized"))
 
 
 def deploy_documents(customer):

@@ -44,6 +44,24 @@ def catalog_columns(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFr
     return spark.createDataFrame(rows, "table_name string, column_name string, type_name string, ordinal bigint")
 
 
+def column_profile(frames: dict[str, DataFrame]) -> DataFrame:
+    """``catalog_columns`` with what the rows say: rows of the table (``n_rows``) and those that hold a value (``n_values``).
+
+    Each table is aggregated to one row in one scan, which is then written out as a row per column.
+    """
+    def profiled(name: str, df: DataFrame) -> DataFrame:
+        fields = df.schema.fields
+        counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(fields)])
+        return counted.select(F.inline(F.array(*[
+            F.struct(
+                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type_name"),
+                F.lit(i + 1).cast("bigint").alias("ordinal"), "n_rows", F.col(f"_{i}").alias("n_values"),
+            ) for i, f in enumerate(fields)
+        ])))
+
+    return reduce(DataFrame.unionByName, [profiled(name, df) for name, df in frames.items()])
+
+
 def session_catalog(spark: SparkSession, server_name: str) -> DataFrame:
     """Columns of all tables and views of all databases of the session's catalog; reads schemas only."""
     rows = []
@@ -73,6 +91,13 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def file_rows(df: DataFrame) -> DataFrame:
+    """The files that hold a table's rows, with their size and the rows in each; no column is read."""
+    return df.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").groupBy(
+        F.col("file_path").alias("full_name"), F.col("file_modification_time").alias("last_write_time"), F.col("file_size").alias("size_bytes")
+    ).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def json_field(df: DataFrame, col: str, schema: StructType | str, out: str) -> DataFrame:
     return df.withColumn(out, F.from_json(F.col(col), schema))
 

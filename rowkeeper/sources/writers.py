@@ -35,7 +35,9 @@ def staged_insert(target: DataFrame, staging: DataFrame, keys: list[str], bounde
     rest = [c for c in staging.columns if c not in keys]
     held = target.select(*keys)
     for c in bounded or []:
-        held = held.filter(F.col(c).between(staging.agg(F.min(c)).scalar(), staging.agg(F.max(c)).scalar()))
+        # Two plans that differ: Spark would merge alike ones into one struct, whose fields do not reach a scan.
+        least, most = staging.agg(F.min(c)), staging.filter(F.col(c).isNotNull()).agg(F.max(c))
+        held = held.filter(F.col(c).between(least.scalar(), most.scalar()))
     new = staging.join(held, keys, "left_anti")
     one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else new.distinct()
     return one.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in staging.columns])

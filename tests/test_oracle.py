@@ -5,6 +5,7 @@ from oracle import connect, differences
 
 import __spark_entry__ as contract
 from rowkeeper import checks
+from rowkeeper.sources import readers
 
 SMALL = "/root/testdata/sf0.001"
 USUAL = "/root/testdata/sf0.01"
@@ -13,9 +14,10 @@ ORDERED = [
     "systematic_sample", "multi_key_sort", "custom_order", "numeric_text_sort", "id_list", "join_names",
     "route_average", "sortedness_check", "nearest_each_side", "concordance_counts", "job_outcome", "oncall_notice",
     "interval_overlap", "history_join", "semi_join", "anti_join", "incremental_append", "integrity_collect",
-    "backup_archive", "rule_or_default", "delete_candidates",
+    "backup_archive", "rule_or_default", "delete_candidates", "circular_sum_around", "circular_sum_around_back", "kth_row_far",
+    "collect_archive", "collect_integrity", "integrity_messages",
 ]
-WITHOUT_SQL = {"file_inventory"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="session")
@@ -43,7 +45,7 @@ def test_hot_keys_agree_with_sql(spark, connections, few_hot_rows, name):
 def test_inventory_lists_every_file(spark):
     import os
 
-    rows = contract.queries()["file_inventory"](spark, SMALL).collect()
+    rows = readers.file_inventory(spark, SMALL).collect()
     assert sorted(os.path.basename(r.full_name) for r in rows) == sorted(os.listdir(SMALL))
 
 
