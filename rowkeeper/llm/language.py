@@ -196,10 +196,13 @@ def fused(evidence: Evidence, n: int) -> Column:
             prior = without_own("_m", without_own("_s", corpus, PARENT_ROWS, p, i), PARENT_ROWS, p, i)
             # How much more often a value goes with the language than the language occurs.
             said = [
-                F.coalesce(F.log(F.greatest(without_own(mix, corpus, EVIDENCE_ROWS, p, i), F.lit(1e-9)) / corpus), F.lit(0.0))
-                for mix in ("_d", "_e")
+                F.coalesce(F.log(positive(without_own(mix, corpus, EVIDENCE_ROWS, p, i)) / corpus), F.lit(0.0)) for mix in ("_d", "_e")
             ]
-            return F.get("t", i) + F.log(F.coalesce(F.greatest(prior, F.lit(1e-9)), corpus)) + said[0] + said[1]
+            return F.get("t", i) + F.log(F.coalesce(positive(prior), corpus)) + said[0] + said[1]
+
+        def positive(share: Column) -> Column:
+            """At least a little, and null without evidence (``greatest`` alone would pass over the null)."""
+            return F.when(share.isNotNull(), F.greatest(share, F.lit(1e-9)))
 
         return F.transform(own, score)
 
