@@ -10,7 +10,7 @@ the sets in elements, so too many different bits exclude a pair before its sets
 
 Only components are asked for, so a list need not give all its pairs. Round one compares each group with the likeliest of the
 groups before it in the list, by their bitmaps, and with the first of its size class: a number of pairs in proportion to the
-list. Round two takes the lists that still hold several components and compares every pair of different components that no
+list. The likeliest pair of each group is read first; of the others only those are read that the links found so far do not connect. Round two takes the lists that still hold several components and compares every pair of different components that no
 earlier test excludes. A long list is cut into blocks there, by size and by a hash, and a task compares two blocks at a time; rows
 of one large component are blocks of their own, which are not compared with each other. What round two skips is connected already; so no component is missed, and a large group of copies gives
 no square of pairs.
@@ -215,9 +215,13 @@ def most_different(a_n, b_n, percent: int):
     return a_n + b_n - 2 * least_overlap(a_n + b_n, percent)
 
 
-def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def pair_batch(a: np.ndarray, b: np.ndarray, apart: np.ndarray | None = None) -> pa.RecordBatch:
+    """Each pair once, smaller id first; with ``apart`` also the least number of bits between them."""
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b), np.zeros_like(a) if apart is None else apart], axis=1)
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)])] if len(pairs) else pairs
+    names = ["a", "b"] if apart is None else ["a", "b", "apart"]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(len(names))], names)
 
 
 def neighbour_pairs(percent: int):
@@ -265,7 +269,8 @@ def neighbour_pairs(percent: int):
             at = np.arange(old, len(now))
             at = at[head[at] < at]
             at = at[distance(head[at], at) <= BITS]
-            yield pair_batch(gid[np.concatenate([first, head[at]])], gid[np.concatenate([second, at])])
+            bits_apart = np.concatenate([best[second, column], distance(head[at], at)])
+            yield pair_batch(gid[np.concatenate([first, head[at]])], gid[np.concatenate([second, at])], bits_apart)
             keep = sorted({int(head[-1]), *range(max(0, len(now) - REACH), len(now))})
             carried = now[keep], bits[keep]
 
@@ -297,7 +302,9 @@ def crossing_pairs(percent: int):
                 else:
                     open_token, before, before_bits = own[0, 0], own[:0], own_bits[:0]
                 every, bits = np.concatenate([before, own]), np.concatenate([before_bits, own_bits])
-                for at in range(len(before), len(every)):
+                # Rows of one component have nothing to find among each other.
+                apart = (every[:, 4] != every[0, 4]).any()
+                for at in range(len(before), len(every)) if apart else ():
                     here = every[at]
                     reach = np.searchsorted(every[:at, 2], -(-percent * here[2] // 100))
                     others = every[reach:at]
@@ -404,8 +411,32 @@ def cell_pairs(percent: int):
     return pairs
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A parity bitmap with twice as many bits as elements at least, so it tells sets of any size apart."""
+    bits = max(BITS, 1 << (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketches_differ(x: bytes, y: bytes) -> int:
+    """In how many bits the sketches differ; the longer one is folded, which gives the bitmap with fewer bits of the same set."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    short = min(len(a), len(b))
+    folded = [np.bitwise_xor.reduce(v.reshape(-1, short), axis=0) for v in (a, b)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose whole sets reach the threshold."""
+    """The pairs ``a``, ``b`` whose whole sets reach the threshold.
+
+    Sketches, a thirty-second of the sets in size, meet first; only pairs that they do not exclude meet with their whole sets.
+    """
+    def likely(batches):
+        for batch in batches:
+            keep = [
+                sketches_differ(x, y) <= most_different(a_n, b_n, percent)
+                for x, y, a_n, b_n in zip(*[batch.column(i).to_pylist() for i in range(2, 6)])
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def test(batches):
         for batch in batches:
@@ -416,31 +447,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint")
+    first = sets.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("a_n"))
+    second = sets.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("b_n"))
+    met = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y", "a_n", "b_n")
+    left = written(met.mapInArrow(likely, "a bigint, b bigint"), "likely")
+    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")).join(left.select("a").distinct(), "a", "left_semi")
+    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")).join(left.select("b").distinct(), "b", "left_semi")
+    return left.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``rep`` and the sorted shingle hashes of the wanted documents."""
+    """``rep``, the number of shingles, their sorted hashes and the sketch of the wanted documents."""
 
     def build(batches):
         shingles = Shingler(width)
         for ids, texts in rows_of(batches, "id", "text"):
-            found = [shingles(t).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["rep", "shingles"])
+            found = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()),
+                    pa.array(map(sketch, found), pa.binary()),
+                ],
+                ["rep", "n", "shingles", "sketch"],
+            )
 
     chosen = docs.join(wanted, "id", "left_semi")
-    return chosen.mapInArrow(build, "rep bigint, shingles binary")
+    return chosen.mapInArrow(build, "rep bigint, n bigint, shingles binary, sketch binary")
+
 
+def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``whole_sets`` of the documents that occur in pairs, which are few beside all that share an element."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    return written(whole_sets(docs, ids, width), "sets")
 
-def merged(found: DataFrame, tops: DataFrame) -> DataFrame:
-    """Components of ids whose components have been joined further: ``tops`` has the new component of each old one."""
+
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ids are in different components, with these as ``top_a`` and ``top_b``."""
+    tops = found.select(F.col("id").alias("a"), F.col("component").alias("top_a"))
+    others = found.select(F.col("id").alias("b"), F.col("component").alias("top_b"))
+    joined = pairs.join(tops, "a", "left").join(others, "b", "left")
+    return joined.withColumns({"top_a": F.coalesce("top_a", "a"), "top_b": F.coalesce("top_b", "b")}).filter("top_a <> top_b")
+
+
+def joined_further(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links. What was connected before is one node here, so little is left to connect."""
+    bridges = written(across(links, found).select(F.col("top_a").alias("a"), F.col("top_b").alias("b")).distinct(), "bridges")
+    if bridges.isEmpty():
+        return found
+    tops = written(connected(bridges), "tops")
     renamed = tops.select(F.col("id").alias("old"), F.col("component").alias("new"))
     below = found.join(renamed, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
-    # Ids that round one left alone are their own component there.
+    # Ids that were alone before were their own component.
     alone = tops.join(found.select("id"), "id", "left_anti")
-    return below.unionByName(alone)
+    return written(below.unionByName(alone), "components")
 
 
 def similarity_components(
@@ -475,54 +534,49 @@ def similarity_components(
     gids = usable.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"))
     members = written(reps.join(gids, ["prefix_key", "n"]).select("set_id", "rep", "gid", "n", "bits"), "members")
 
-    # A group is compared by the set of its first id.
-    mapped = lists.join(members.filter("rep = gid").select("gid", "bits"), "gid").select("token", "gid", "n", "pos", "bits")
+    # A group is compared by the set of its first id. Both rounds read these rows.
+    mapped = written(lists.join(members.filter("rep = gid").select("gid", "bits"), "gid").select("token", "gid", "n", "pos", "bits"), "mapped")
     in_lists = mapped.repartition("token").sortWithinPartitions("token", "n", F.xxhash64("gid", "token"))
-    near = in_lists.mapInArrow(neighbour_pairs(percent), "a bigint, b bigint")
-    within = members.filter(F.col("rep") != F.col("gid")).select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    tried = written(near.unionByName(within).distinct(), "tried")
+    near = in_lists.mapInArrow(neighbour_pairs(percent), "a bigint, b bigint, apart bigint")
+    within = members.filter(F.col("rep") != F.col("gid")).select(
+        F.col("gid").alias("a"), F.col("rep").alias("b"), F.lit(0).cast("bigint").alias("apart")
+    )
+    tried = written(near.unionByName(within).groupBy("a", "b").agg(F.min("apart").alias("apart")), "tried")
 
-    # Every document that can meet another one: those in lists, and members of groups with several sets.
     crowded = members.groupBy("gid").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("gid")
-    wanted = members.join(lists.select("gid").unionByName(crowded).distinct(), "gid", "left_semi").select(F.col("rep").alias("id"))
-    sets = written(whole_sets(narrow, wanted.distinct(), width), "sets")
-    links = written(verified(tried, sets, percent), "links")
-    found = written(connected(links), "components")
-
-    # Lists that hold several components still; a group with several sets is a list of its own.
-    entries = lists.join(members.select("gid", "rep"), "gid").select("token", "rep", "n", "pos")
-    own = members.join(crowded, "gid", "left_semi").select(F.xxhash64("gid").alias("token"), "rep", "n", F.lit(0).alias("pos"))
+    sets = sets_of(narrow, tried, width)
+    likeliest = written(
+        tried.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "likeliest"
+    )
+    found = written(connected(written(verified(likeliest, sets, percent), "links")), "components")
+    others = written(across(tried.select("a", "b").join(likeliest, ["a", "b"], "left_anti"), found).select("a", "b"), "other_pairs")
+    if not others.isEmpty():
+        found = joined_further(found, written(verified(others, sets, percent), "links"))
+
+    # The rows of all lists with their components; a group with several sets has a row for each, and is a list of its own.
+    several = written(members.join(crowded, "gid", "left_semi").select("gid", "rep", F.col("n").alias("_n"), F.col("bits").alias("_bits")), "several")
+    entries = mapped.join(several.select("gid", "rep", "_bits"), "gid", "left").select(
+        "token", F.coalesce("rep", "gid").alias("rep"), "n", "pos", F.coalesce("_bits", "bits").alias("bits")
+    )
+    own = several.select(F.xxhash64("gid").alias("token"), "rep", F.col("_n").alias("n"), F.lit(0).alias("pos"), F.col("_bits").alias("bits"))
     labels = found.select(F.col("id").alias("rep"), "component")
     placed = entries.unionByName(own).join(labels, "rep", "left").select(
-        "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component")
-    )
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")
+        "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), "bits"
     )
-    mixed = written(mixed.filter("low < high").select("token", "rows"), "mixed")
-    is_long = F.col("rows") > block_rows
-
-    def open_lists(which) -> DataFrame:
-        chosen = placed.join(mixed.filter(which).select("token"), "token", "left_semi")
-        return chosen.join(members.select("rep", "bits"), "rep").select("token", "rep", "n", "pos", "component", "bits")
+    sizes = entries.select("token").unionByName(own.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    long = written(sizes.filter(F.col("rows") > block_rows).select("token"), "long_lists")
+    has_long = not long.isEmpty()
 
-    crossing = open_lists(~is_long).repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(
+    short = placed.join(long, "token", "left_anti") if has_long else placed
+    crossing = short.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(
         crossing_pairs(percent), "a bigint, b bigint"
     )
-    if not mixed.filter(is_long).isEmpty():
-        long = cells(open_lists(is_long), percent, block_rows).repartition("x", "y").sortWithinPartitions("x", "y", "side", "n", "rep")
-        crossing = crossing.unionByName(long.mapInArrow(cell_pairs(percent), "a bigint, b bigint"))
+    if has_long:
+        blocks = cells(placed.join(long, "token", "left_semi"), percent, block_rows).repartition("x", "y")
+        in_blocks = blocks.sortWithinPartitions("x", "y", "side", "n", "rep")
+        crossing = crossing.unionByName(in_blocks.mapInArrow(cell_pairs(percent), "a bigint, b bigint"))
     more = written(crossing.distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
-    more_links = verified(more, sets, percent)
-    # What round one has joined is one node from here on; mostly nothing is left to join.
-    tops = found.select(F.col("id").alias("a"), F.col("component").alias("top_a"))
-    others = found.select(F.col("id").alias("b"), F.col("component").alias("top_b"))
-    bridges = written(
-        more_links.join(tops, "a", "left").join(others, "b", "left")
-        .select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b")).distinct(), "bridges",
-    )
-    final = found if bridges.isEmpty() else merged(found, connected(bridges))
+    final = found if more.isEmpty() else joined_further(found, written(verified(more, sets_of(narrow, more, width), percent), "links"))
 
     by_set = members.join(final, F.col("rep") == F.col("id"), "left").select(
         "set_id", F.coalesce("component", "rep").alias("component")
