@@ -52,6 +52,8 @@ def transpose(t):
     cells = reshape.matrix_cells(t.embeddings, "label", "embedding").select(
         "label", "pos", F.floor(F.col("value").cast("double") * 1000).cast("bigint").alias("value")
     )
+    # A label has several vectors; the greatest of their cells stands for it.
+    cells = cells.groupBy("label", "pos").agg(F.max("value").alias("value"))
     wide = reshape.transpose(cells, "label", "pos", "value", list(range(10)))
     return wide.withColumn(
         "sorted_values", F.array_join(F.transform("sorted_values", lambda v: v.cast("string")), ",")

@@ -33,9 +33,15 @@ def unpivot_columns(df: DataFrame, cols: list[str], out: str) -> DataFrame:
 
 def transpose(df: DataFrame, row: str, pos: str, value: str, rows: list) -> DataFrame:
     """Cells (row, position, value) of a few listed rows as one line per position: a column per row,
-    and the values of the line in order."""
-    cells = [F.max(F.when(F.col(row) == r, F.col(value))).alias(f"row_{r}") for r in rows]
-    wide = df.groupBy(pos).agg(*cells)
+    and the values of the line in order. Two cells at one place are an error, as a line has room for one."""
+    kind = df.schema[value].dataType
+
+    def cell(r):
+        here = F.col(row) == r
+        text = F.concat(F.lit(f"several cells in row {r} at position "), F.coalesce(F.first(pos).cast("string"), F.lit("null")))
+        return F.when(F.count_if(here) > 1, F.raise_error(text).cast(kind)).otherwise(F.max(F.when(here, F.col(value)))).alias(f"row_{r}")
+
+    wide = df.groupBy(pos).agg(*[cell(r) for r in rows])
     return wide.withColumn("sorted_values", F.array_sort(F.array_compact(F.array(*[f"row_{r}" for r in rows]))))
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rowkeeper.operators import aggregates, joins, maintenance, ordering, windows
+from rowkeeper.operators import aggregates, joins, maintenance, ordering, reshape, windows
 from rowkeeper.plans import fleet
 from rowkeeper.plans.ordered import ordered
 from rowkeeper.plans.skew import skew_join
@@ -140,6 +140,15 @@ def test_all_recipients_are_told(spark):
     assert fleet.alert_rows(failures, two, "z").first().recipients is None
 
 
+def test_two_cells_at_one_place_are_an_error(spark):
+    schema = "r int, pos int, value int"
+    once = spark.createDataFrame([(0, 0, 5), (1, 0, 3), (0, 1, None), (7, 1, 9), (7, 1, 9)], schema)
+    lines = {r.pos: (r.row_0, r.row_1, r.sorted_values) for r in reshape.transpose(once, "r", "pos", "value", [0, 1]).collect()}
+    assert lines == {0: (5, 3, [3, 5]), 1: (None, None, [])}
+    with pytest.raises(Exception, match="several cells in row 0 at position 1"):
+        reshape.transpose(once.union(spark.createDataFrame([(0, 1, 2)], schema)), "r", "pos", "value", [0, 1]).collect()
+
+
 def test_skewed_join_of_rows_with_maps(spark, few_hot_rows):
     left = spark.range(200).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), "id").alias("m"), "id")
     right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
