@@ -507,7 +507,7 @@ def test_languages_of_rows_outside_the_fit(spark):
 @pytest.fixture(scope="module")
 def no_rows(tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "embeddings", "labels", "pages"):
+    for name in ("documents", "embeddings", "labels", "pages", "conversations"):
         pq.write_table(pq.read_table(f"{SMALL}/{name}.parquet").slice(0, 0), f"{path}/{name}.parquet")
     return str(path)
 
@@ -517,7 +517,11 @@ def test_empty_tables(spark, no_rows, name):
     assert llm.QUERIES[name](spark, no_rows).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(n for n in llm.QUERIES if n.startswith("op") and not n.startswith("op1_")))
+# Those on other tables have tests of their own.
+ON_DOCUMENTS = sorted(n for n in llm.QUERIES if n.startswith("op") and n.split("_")[0] not in ("op1", "op11", "op12", "op13"))
+
+
+@pytest.mark.parametrize("name", ON_DOCUMENTS)
 def test_nulls_in_all_columns(spark, tmp_path, name):
     schema = pq.read_schema(f"{SMALL}/documents.parquet")
     rows = [dict.fromkeys(schema.names)] * 3 + [{**dict.fromkeys(schema.names), "doc_id": 5}]
@@ -528,6 +532,22 @@ def test_nulls_in_all_columns(spark, tmp_path, name):
     assert sorted(str(r["doc_id"]) for r in found) == ["5", "None", "None", "None"]
 
 
+def test_nulls_in_vectors_and_pages(spark, tmp_path):
+    """Vectors of null or with nulls take no part, a repeated id is one item; pages of null are in no known language."""
+    schema = "vec_id long, embedding array<float>, label int, query_id long, score string"
+    rows = [(None, None, None, None, None), (0, None, 1, 1, "x"), (100, [1.0, None], 1, 1, "x"), (200, [0.5, 0.25], 1, 1, "x")]
+    rows += [(7, [0.5, 0.5], 1, 1, "x"), (7, [0.5, 0.5], 1, 1, "x"), (9, [float("nan"), 1.0], 1, 1, "x"), (8, [], 1, 1, "x")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in run(spark, "op1_top_k_search", str(tmp_path)))
+    assert found == [(200, 1, 7, 512 * 512 + 256 * 512)]
+    pq.write_table(pq.read_table(f"{SMALL}/documents.parquet"), f"{tmp_path}/documents.parquet")
+    pages = [(None, None, None, "a"), (1, None, "", "a"), (1, None, "", "a"), (2, "http://x.example.com/", None, "a")]
+    spark.createDataFrame(pages, "page_id long, url string, html string, host string").write.parquet(f"{tmp_path}/pages.parquet")
+    scored = run(spark, "page_language_id", str(tmp_path))
+    assert sorted(str(r["page_id"]) for r in scored) == ["1", "1", "2", "None"]
+    assert {(r["language"], r["confidence"], r["kept"]) for r in scored} == {("und", 0.0, False)}
+
+
 def plain_copies(rows, weights=(3, 1, 2), share=1.5, most=2.0):
     """How often the mix takes each (doc_id, text, source), by rounds of holding sources at their cap."""
     sizes = Counter()
