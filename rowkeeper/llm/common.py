@@ -23,8 +23,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 4_096  # rows of a batch, unless the session says otherwise; texts can be long
+
+
 def workers_find_library(spark: SparkSession) -> None:
-    """Let Python workers import this library when the driver found it outside their search path."""
+    """Let Python workers import this library when the driver found it outside their search path, and keep batches of texts small."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -105,16 +105,19 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.lower(F.substring_index(host, ".", -1)))
 
 
-def with_text_scores(rows: DataFrame, model, n: int) -> DataFrame:
-    """Add ``t``, the log likelihoods of ``text``, and drop ``text``; ``row`` and the other evidence stay."""
+def with_text_scores(rows: DataFrame, model, n: int, inside: str | None = None) -> DataFrame:
+    """Add ``t``, the log likelihoods of ``text``, and drop ``text``; ``row`` and the other evidence stay.
+
+    With ``inside`` the text is that column of ``row``, so that it is not sent twice.
+    """
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", t array<double>"
 
     def score(batches):
         likelihoods = model.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at)
+            texts = batch.column(batch.schema.get_field_index("row" if inside else "text"))
+            texts = texts.field(inside) if inside else texts
             scores = [likelihoods.of(texts[i].as_py()) for i in range(batch.num_rows)]
             flat = np.concatenate(scores) if scores else np.zeros(0)
             offsets = np.arange(0, len(flat) + 1, n, dtype=np.int32)
@@ -263,8 +266,8 @@ def documents_in_known_languages(
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = evidence_rows(docs, [F.lit(0).alias("none")], F.col(text_col), F.col(host_col), none)
     evidence = corpus_evidence(written(with_text_scores(first, shared, n), "text_scores"), n)
-    rows = evidence_rows(docs, docs.columns, F.col(text_col), F.col(host_col), none)
-    return decided(with_text_scores(rows, shared, n), evidence, model.languages, least, "has_text").filter("kept").select("row.*")
+    rows = evidence_rows(docs, docs.columns, F.col(text_col), F.col(host_col), none).drop("text")
+    return decided(with_text_scores(rows, shared, n, text_col), evidence, model.languages, least, "has_text").filter("kept").select("row.*")
 
 
 def page_text(html: Column) -> Column:
