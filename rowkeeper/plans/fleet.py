@@ -247,6 +247,7 @@ def integrity_messages(log: DataFrame) -> DataFrame:
     ids = parts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("part", "items"))).alias("_parts")).select(
         "run_id", F.array_join("_parts.items", ",").alias("_ids")
     )
+    # The wording of the message.
     where = F.concat(F.lit("; For More information - SELECT * FROM "), "server_name", F.lit(".command_log WHERE id IN ("), "_ids", F.lit(")"))
     message = F.when(F.col("n_findings") == 0, F.lit(str(CHECK_OK))).otherwise(F.concat(F.lit("Error Message: "), F.col("_first.text"), where))
     return told.join(ids, "run_id", "left").select("run_id", "n_findings", message.alias("message"))
