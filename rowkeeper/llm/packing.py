@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkeeper.llm.common import MAX_CACHED_LENGTH, rows_of
+from rowkeeper.llm.common import MAX_CACHED_LENGTH
 from rowkeeper.llm.tokens import chunks_of
 from rowkeeper.session import written
 
@@ -29,6 +31,8 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
 HALF = 500_000  # chunks in each half of what a worker remembers
+#: Texts encoded together: more share more words, and long ones take more memory.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_024, 2**22
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -50,6 +54,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker per core; threads of the library beside it only wait.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,6 +138,19 @@ def plainly_spaced(text: str) -> bool:
     return len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text)
 
 
+def text_groups(batches):
+    """Ids and texts of Arrow batches, as many at once as the bounds allow but at least one."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            reach = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, "right"))
+            n = max(1, min(reach - at, TEXTS_AT_ONCE))
+            yield ids.slice(at, n).to_pylist(), texts.slice(at, n).to_pylist()
+            at += n
+
+
 def encoder(path: str) -> Encoder:
     """One per worker."""
     if path not in _encoders:
@@ -154,7 +173,7 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
 
     def cut(batches):
         encode, slot = encoder(path).encode, 0
-        for ids, texts in rows_of(batches, "id", "text"):
+        for ids, texts in text_groups(batches):
             rows = []
             for doc_id, encoded in zip(ids, encode([t or "" for t in texts])):
                 encoded += end

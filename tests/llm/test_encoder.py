@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowkeeper.llm import packing
@@ -39,3 +40,14 @@ def test_rows_that_share_an_identifier_fill_all_buckets(spark, monkeypatch):
     assert len(packed) == 400 and len({r.sequence_id for r in packed}) == -(-400 // per_sequence)
     assert len({(r.sequence_id, r.offset) for r in packed}) == 400
     assert all(r.offset % length == 0 and r.offset + length <= 64 for r in packed)
+
+
+def test_text_groups_cover_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 4)
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 10)
+    texts = [None, "", "a" * 25, "é" * 5, "abc", None, "x", "y", "z", "w", "v", "b" * 11, ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    groups = list(packing.text_groups([batch, batch.slice(0, 0), batch.slice(3)]))
+    assert [pair for ids, found in groups for pair in zip(ids, found)] == [*enumerate(texts), *list(enumerate(texts))[3:]]
+    for ids, found in groups:
+        assert len(ids) <= 4 and (len(ids) == 1 or sum(len((t or "").encode()) for t in found) <= 10)
