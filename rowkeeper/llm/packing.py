@@ -10,8 +10,10 @@ length and puts piece number k into the k-th place that the plan has for its len
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import os
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -23,18 +25,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeeper.llm.common import MAX_CACHED_LENGTH
-from rowkeeper.llm.tokens import chunks_of
+from rowkeeper.llm.tokens import BYTE_LEVEL_WORDS, MergeCounter, byte_symbols, chunks_of
 from rowkeeper.session import written
 
 BUCKET_ROWS = 65_536  # pieces of one length that one task numbers
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
-HALF = 500_000  # chunks in each half of what a worker remembers
+REMEMBERED = 1_000_000  # words or chunks that a worker remembers; it starts anew beyond
 #: Texts encoded together: more share more words, and long ones take more memory.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_024, 2**22
 
-_encoders: dict[str, "Encoder"] = {}
+#: Characters that have long been letters, digits, white space or none of these; the libraries may be of different Unicode versions beyond.
+SETTLED = re.compile("[\0-\u024f]*")
+
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 @dataclass
@@ -49,11 +54,11 @@ class Encoder:
     """Identifiers of texts as little-endian bytes; what the tokenizers library said of a chunk is remembered.
 
     Most texts are words with one space or line feed between them. Such a text is split at its spaces, and a word stands for the
-    chunk of a space and the word; other texts are cut into the chunks of ``chunks_of``. The chunks remembered are in two halves:
-    when the newer one is full, it becomes the older one, from which chunks that are met again move back. So frequent chunks stay.
+    chunk of a space and the word; other texts are cut into the chunks of ``chunks_of``. New words of Latin letters go through tiktoken when
+    ``ranked`` says that the vocabulary merges by rank (``merges_by_rank``), as it gives the same identifiers in a third of the time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranked: bool = False):
         # Spark runs a worker per core; threads of the library beside it only wait.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -64,78 +69,104 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token has a character per byte
         for token, at in vocabulary.items():
             self.sizes[at] = len(token)
+        self.ranked = None
+        if ranked:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks_of(path), special_tokens={})
         # By word after a space (or with its line feed), and by chunk as it stands.
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def fresh(self, words: list[str]) -> list[bytes]:
-        """Identifiers of new words after a space, or with their line feed. They are encoded as one text, which is quicker.
+        """Identifiers of new words after a space, or with their line feed."""
+        if self.ranked is None:
+            return self.joined(words, self.one)
+        found: dict[str, bytes] = {}
+        old = [w for w in words if SETTLED.fullmatch(w)]
+        if old:
+            found.update(zip(old, self.joined(old, self.ranked.encode_ordinary)))
+        new = [w for w in words if w not in found]
+        if new:
+            found.update(zip(new, self.joined(new, self.one)))
+        return [found[w] for w in words]
+
+    def one(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def joined(self, words: list[str], encode) -> list[bytes]:
+        """Identifiers of words that are encoded as one text, which is quicker.
 
         No token crosses from one into the next; the bytes of the tokens tell where each ends.
         """
-        joined = "".join([w if w[0] == "\n" else " " + w for w in words])
-        ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        text = "".join([w if w[0] == "\n" else " " + w for w in words])
+        ids = np.asarray(encode(text), "<u4")
         ends = np.cumsum(self.sizes[ids])
         # A space or line feed stands at the start of each word and nowhere else.
-        text = np.frombuffer(joined.encode("utf-8"), np.uint8)
-        bounds = np.append(np.flatnonzero((text == 32) | (text == 10))[1:], len(text))
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        bounds = np.append(np.flatnonzero((data == 32) | (data == 10))[1:], len(data))
         stops = np.searchsorted(ends, bounds) + 1
         if len(bounds) != len(words) or stops[-1] > len(ids) or not np.array_equal(ends[stops - 1], bounds):
             return self.whole([w if w[0] == "\n" else " " + w for w in words])
-        data, marks = ids.tobytes(), [0, *(4 * stops).tolist()]
-        return [data[i:j] for i, j in zip(marks, marks[1:])]
+        coded, marks = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [coded[i:j] for i, j in zip(marks, marks[1:])]
 
     @staticmethod
-    def _learn(held: tuple[dict, dict], wanted: set[str], find) -> tuple[tuple[dict, dict], list[str]]:
-        """The dictionaries with all wanted keys in the newer one, and the new keys that are too long to stay."""
-        if len(held[0]) >= HALF:
-            held = ({}, held[0])
-        known, older = held
-        missing = wanted.difference(known)
-        again = missing.intersection(older)
-        known.update([(c, older[c]) for c in again])
-        new = list(missing - again)
-        if new:
-            known.update(zip(new, find(new)))
-        return held, [c for c in new if len(c) > MAX_CACHED_LENGTH]
+    def _found(known: dict[str, bytes], wanted: list[str], find) -> list[bytes]:
+        """Identifiers of each wanted key; new keys are remembered unless they are very long."""
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = list(map(known.get, wanted))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        if missing:
+            new = list({wanted[at] for at in missing})
+            fresh = dict(zip(new, find(new)))
+            known.update([(key, ids) for key, ids in fresh.items() if len(key) <= MAX_CACHED_LENGTH])
+            for at in missing:
+                found[at] = fresh[wanted[at]]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain: list[list[str]] = []
-        others: list[list[str] | None] = []
-        for text in texts:
-            words: list[str] = []
+        words: list[str] = []
+        chunks: list[str] = []
+        ends, others = [], set()
+        for at, text in enumerate(texts):
             if any(t in text for t in self.added):
-                rest = None
-            elif plainly_spaced(text):
-                words = text.replace("\n", " \n").split(" ")
-                rest = words[:1]  # nothing stands before the first word
-                del words[0]
+                others.add(at)
             else:
-                rest = chunks_of(text)
-            plain.append(words)
-            others.append(rest)
-        self.words, long_words = self._learn(self.words, set().union(*plain), self.fresh)
-        self.chunks, long_chunks = self._learn(self.chunks, set().union(*filter(None, others)), self.whole)
-        words_of, chunk_of = self.words[0].__getitem__, self.chunks[0].__getitem__
-        out = [
-            self.whole([text])[0] if rest is None else b"".join(map(chunk_of, rest)) + b"".join(map(words_of, words))
-            for text, words, rest in zip(texts, plain, others)
-        ]
-        for held, long in ((self.words[0], long_words), (self.chunks[0], long_chunks)):
-            for key in long:
-                del held[key]
+                spaced = text.replace("\n", " \n").split(" ")
+                if plainly_spaced(text, spaced):
+                    chunks.append(spaced[0])  # nothing stands before the first word
+                    del spaced[0]
+                    words += spaced
+                else:
+                    chunks += chunks_of(text)
+            ends.append((len(chunks), len(words)))
+        of_chunks = self._found(self.chunks, chunks, self.whole)
+        of_words = self._found(self.words, words, self.fresh)
+        out, (a, b) = [], (0, 0)
+        for at, (c, d) in enumerate(ends):
+            out.append(self.whole([texts[at]])[0] if at in others else b"".join(of_chunks[a:c] + of_words[b:d]))
+            a, b = c, d
         return out
 
 
-def plainly_spaced(text: str) -> bool:
-    """Whether the text is words with exactly one space or line feed between them and no other white space."""
+def plainly_spaced(text: str, spaced: list[str]) -> bool:
+    """Whether the text is words with exactly one space or line feed between them and no other white space.
+
+    ``spaced`` are its words, a line feed with the one that follows.
+    """
+    if "" in spaced or "\n" in spaced:
+        return False
+    # Of all white space, only the space is printable.
+    if text.replace("\n", "").isprintable():
+        return True
     words = text.split()
-    spaces = text.count(" ") + text.count("\n")
-    return len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text)
+    return len(words) == len(spaced) and sum(map(len, words)) + len(words) - 1 == len(text)
 
 
 def text_groups(batches):
@@ -151,11 +182,37 @@ def text_groups(batches):
             at += n
 
 
-def encoder(path: str) -> Encoder:
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Identifier of each token of a byte-level vocabulary, by its bytes."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    byte = byte_symbols()
+    return {bytes(byte[c] for c in token): at for token, at in vocabulary.items()}
+
+
+def merges_by_rank(path: str) -> bool:
+    """Whether merging the pair that makes the lowest identifier gives the tokens of the vocabulary's own list of merges.
+
+    It does when the merges are in the order of the identifiers they make and every token is made from its bytes by them. Suppose the two
+    ways part first at a pair that makes token t by identifier but is no merge of the list. No merge crossed the ends of t so far,
+    so what lies between them is what the list makes of the bytes of t alone before its last merge, which is the one
+    pair of the list that makes t.
+    """
+    try:
+        merger = MergeCounter(path)
+        ranks = ranks_of(path)
+    except (KeyError, ValueError):
+        return False
+    if any(a >= b for a, b in zip(merger.merged, merger.merged[1:])):
+        return False
+    return len(merger.rank) == len(merger.merged) and all(merger.merge_count(token) == 1 for token in ranks)
+
+
+def encoder(path: str, ranked: bool = False) -> Encoder:
     """One per worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, ranked) not in _encoders:
+        _encoders[path, ranked] = Encoder(path, ranked)
+    return _encoders[path, ranked]
 
 
 def piece_starts(n: int, size: int) -> list[int]:
@@ -170,9 +227,10 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
     Equal rows have different slots, so no identifier gathers rows in one place.
     """
     end = np.asarray([end_id], "<u4").tobytes()
+    ranked = merges_by_rank(path)
 
     def cut(batches):
-        encode, slot = encoder(path).encode, 0
+        encode, slot = encoder(path, ranked).encode, 0
         for ids, texts in text_groups(batches):
             rows = []
             for doc_id, encoded in zip(ids, encode([t or "" for t in texts])):

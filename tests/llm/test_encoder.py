@@ -1,8 +1,10 @@
 """Identifiers of texts from remembered words against the library, and packing of rows that share an identifier."""
 
+import json
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from rowkeeper.llm import packing
@@ -11,13 +13,14 @@ from rowkeeper.llm.queries import vocabulary_file
 PATH = vocabulary_file("byte_bpe_50k.json")
 
 
-def test_encoder_agrees_with_the_library(monkeypatch):
+@pytest.mark.parametrize("ranked", [False, True])
+def test_encoder_agrees_with_the_library(monkeypatch, ranked):
     """Odd white space, added tokens, long words, and dictionaries that turn over all the time."""
-    monkeypatch.setattr(packing, "HALF", 50)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
     rng = random.Random(1)
     odd = ["a", " ", "\n", "\t", "b", "é", "  ", "\n\n", "\x85", "\xa0", "<|endoftext|>", "'s", "1", "!!", "ab ", "\x1c", "\r\n", "x" * 70, "€"]
     words = ["w", "yy", "z!", "é?", "1\x1c2", "v" * 80]
-    encoder = packing.Encoder(PATH)
+    encoder = packing.Encoder(PATH, ranked)
     for _ in range(300):
         texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(9))) for _ in range(20)]
         texts += [rng.choice([" ", "\n"]).join(rng.choice(words) + str(rng.randrange(99)) for _ in range(5)) for _ in range(6)]
@@ -51,3 +54,25 @@ def test_text_groups_cover_all_rows_in_order(monkeypatch):
     assert [pair for ids, found in groups for pair in zip(ids, found)] == [*enumerate(texts), *list(enumerate(texts))[3:]]
     for ids, found in groups:
         assert len(ids) <= 4 and (len(ids) == 1 or sum(len((t or "").encode()) for t in found) <= 10)
+
+
+def test_merges_by_rank_holds_for_the_vocabulary_and_not_for_changed_ones(tmp_path):
+    assert packing.merges_by_rank(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    for at, changed in enumerate([merges[1:], [merges[1], merges[0], *merges[2:]]]):
+        other = {**spec, "model": {**spec["model"], "merges": changed}}
+        (tmp_path / f"{at}.json").write_text(json.dumps(other))
+        assert not packing.merges_by_rank(str(tmp_path / f"{at}.json"))
+
+
+def test_new_words_have_the_identifiers_of_the_library():
+    rng = random.Random(4)
+    letters = "aaabcdeeefghiiijklmnoopqrsttuvwxyzABCXYZ0123456789'-_.,;:!?()[]{}<>/\\@#$%&*+=|~`\"^"
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(30_000)}
+    words |= {"\n" + w for w in list(words)[:2_000]} | {w + "é" for w in list(words)[2_000:2_200]} | {"a" * n for n in range(1, 70)}
+    accented = [chr(c) for c in range(0xA1, 0x250) if not chr(c).isspace()] + list("abc1'") + ["\U0001f600", "字", "\u0301", "٣"]
+    words |= {"".join(rng.choices(accented, k=rng.randint(1, 8))) for _ in range(20_000)}
+    words = sorted(words)
+    assert packing.Encoder(PATH, True).fresh(words) == packing.Encoder(PATH).whole([w if w[0] == "\n" else " " + w for w in words])
