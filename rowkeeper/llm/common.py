@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 256  # rows of a batch that are Python objects at the same time
 MAX_CACHED_WORDS = 600_000  # of a worker; the cache starts anew beyond
+MAX_CACHED_HASHES = 100_000  # the same for hashes, which are quickly made: a small cache is quicker than a large one
 MAX_CACHED_LENGTH = 64
 
 #: The words of a text, unchanged: what lies between ASCII white space.
@@ -24,7 +25,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 4_096  # rows of a batch, unless the session says otherwise; texts can be long
+BATCH_ROWS = 1_024  # rows of a batch, unless the session says otherwise; texts can be long
 
 
 def workers_find_library(spark: SparkSession) -> None:
@@ -55,7 +56,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= MAX_CACHED_WORDS:
+        if len(self) >= MAX_CACHED_HASHES:
             self.clear()
         if len(word) <= MAX_CACHED_LENGTH:
             self[word] = found
