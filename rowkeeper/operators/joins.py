@@ -11,11 +11,14 @@ from rowkeeper.plans.ordered import ordered
 from rowkeeper.plans.skew import skew_join
 from rowkeeper.plans.spread import spread_range
 
+TASK_ROWS = 1_000_000  # rows of the larger side that one task joins and holds
+
 
 def history_join(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Distinct columns of an inner join. The right side is the one with several rows per key; its hot keys are
-    salted, as the distinct after the join would keep them together."""
-    return skew_join(right, left, keys).select(*cols).distinct()
+    salted, as the distinct after the join would keep them together. A task sorts both sides and holds its distinct rows, so
+    large tables are dealt to more tasks."""
+    return skew_join(right, left, keys, task_rows=TASK_ROWS).select(*cols).distinct()
 
 
 def multi_key_join(left: DataFrame, right: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
