@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +41,22 @@ def workers_find_library(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives through several stages, and pages freed in one count in all that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim is not None:
+        trim(0)
+
+
 def rows_of(batches, *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns of Arrow batches as lists, a few hundred rows at a time."""
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         for start in range(0, batch.num_rows, ROWS_AT_ONCE):
             yield tuple(c.slice(start, ROWS_AT_ONCE).to_pylist() for c in columns)
+    give_back()
 
 
 def words_of(text: str | None) -> list[bytes]:

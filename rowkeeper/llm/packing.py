@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkeeper.llm.common import MAX_CACHED_LENGTH
+from rowkeeper.llm.common import MAX_CACHED_LENGTH, give_back
 from rowkeeper.llm.tokens import BYTE_LEVEL_WORDS, MergeCounter, byte_symbols, chunks_of
 from rowkeeper.session import written
 
@@ -32,9 +33,10 @@ BUCKET_ROWS = 65_536  # pieces of one length that one task numbers
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
-REMEMBERED = 1_000_000  # words or chunks that a worker remembers; it starts anew beyond
+REMEMBERED = 300_000  # words or chunks that a worker remembers; the older half goes beyond
+MARKS = 2**21  # bytes that mark by hash which words a worker has met; many come once and are not worth remembering
 #: Texts encoded together: more share more words, and long ones take more memory.
-TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_024, 2**22
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1_024, 2**20
 
 #: Characters that have long been letters, digits, white space or none of these; the libraries may be of different Unicode versions beyond.
 SETTLED = re.compile("[\0-\u024f]*")
@@ -51,7 +53,7 @@ class Run:
 
 
 class Encoder:
-    """Identifiers of texts as little-endian bytes; what the tokenizers library said of a chunk is remembered.
+    """Identifiers of texts as little-endian bytes; what the tokenizers library said of a chunk is remembered when it comes again.
 
     Most texts are words with one space or line feed between them. Such a text is split at its spaces, and a word stands for the
     chunk of a space and the word; other texts are cut into the chunks of ``chunks_of``. New words of Latin letters go through tiktoken when
@@ -77,6 +79,7 @@ class Encoder:
         # By word after a space (or with its line feed), and by chunk as it stands.
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -115,17 +118,24 @@ class Encoder:
         coded, marks = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [coded[i:j] for i, j in zip(marks, marks[1:])]
 
-    @staticmethod
-    def _found(known: dict[str, bytes], wanted: list[str], find) -> list[bytes]:
-        """Identifiers of each wanted key; new keys are remembered unless they are very long."""
+    def _found(self, known: dict[str, bytes], wanted: list[str], find) -> list[bytes]:
+        """Identifiers of each wanted key; keys of earlier calls are remembered unless they are very long."""
         if len(known) >= REMEMBERED:
+            newer = list(islice(known.items(), len(known) // 2, None))
             known.clear()
+            known.update(newer)
         found = list(map(known.get, wanted))
         missing = [at for at, ids in enumerate(found) if ids is None]
         if missing:
             new = list({wanted[at] for at in missing})
             fresh = dict(zip(new, find(new)))
-            known.update([(key, ids) for key, ids in fresh.items() if len(key) <= MAX_CACHED_LENGTH])
+            met, marks = self.met, len(self.met)
+            for key, ids in fresh.items():
+                mark = hash(key) % marks
+                if not met[mark]:
+                    met[mark] = 1
+                elif len(key) <= MAX_CACHED_LENGTH and len(known) < REMEMBERED:
+                    known[key] = ids
             for at in missing:
                 found[at] = fresh[wanted[at]]
         return found
@@ -230,6 +240,7 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
     ranked = merges_by_rank(path)
 
     def cut(batches):
+        give_back()  # what earlier stages left in this worker
         encode, slot = encoder(path, ranked).encode, 0
         for ids, texts in text_groups(batches):
             rows = []

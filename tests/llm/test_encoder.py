@@ -28,6 +28,21 @@ def test_encoder_agrees_with_the_library(monkeypatch, ranked):
     assert all(len(key) <= packing.MAX_CACHED_LENGTH for held in (*encoder.words, *encoder.chunks) for key in held)
 
 
+def test_encoder_remembers_words_that_come_again_and_drops_the_older_half(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    encoder = packing.Encoder(PATH)
+    once = "a " + " ".join(f"once{i}" for i in range(50))
+    assert encoder.encode([once]) == encoder.whole([once])
+    assert not encoder.words and not encoder.chunks
+    for i in range(8):
+        for _ in range(2):
+            assert encoder.encode([f"a w{i}"]) == encoder.whole([f"a w{i}"])
+    held = list(encoder.words)
+    assert len(held) == 8
+    assert encoder.encode(["a w7"]) == encoder.whole(["a w7"])
+    assert list(encoder.words) == held[4:]
+
+
 def test_rows_that_share_an_identifier_fill_all_buckets(spark, monkeypatch):
     """One id, one null id and one text in all rows: every piece has its own place, and buckets fill evenly."""
     monkeypatch.setattr(packing, "BUCKET_ROWS", 16)
