@@ -39,6 +39,9 @@ REACH = 256  # rows before it in the list, among which they are found
 BITS = 512  # of a parity bitmap
 CLASSES_PER_DOUBLING = 4  # size classes, whose first member all others in the list are compared with
 PAIRS_AT_ONCE = 500_000
+LIST_ROWS_AT_ONCE = 65_536  # rows of lists that a task looks through together for rows without a partner
+LONGEST_TRIED = 512  # rows of a list in which partners are looked for; longer lists keep all their rows
+MOST_SENT = 2_000_000  # pairs or ids that may be sent to all executors; larger tables are left to Spark's own size check
 
 DESCRIBED = "id bigint, n int, set_id binary, prefix binary, prefix_key binary, bits binary"
 LISTED = "token bigint, gid bigint, n int, pos int"
@@ -171,24 +174,6 @@ def listed(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "n", "prefix").mapInArrow(spread, LISTED)
 
 
-def shared_rows(batches):
-    """Rows, sorted by token, whose token has another row."""
-    held, again = None, False  # the last row so far, and whether the row before it has its token
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]) if held is not None else rows
-        token = rows.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        before = np.concatenate([[again], same])
-        keep = before[:-1] | same
-        yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(keep)).combine_chunks().to_batches()
-        held, again = rows.slice(rows.num_rows - 1), bool(before[-1])
-    if again:
-        yield from held.to_batches()
-
-
 def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1)) * CLASSES_PER_DOUBLING).astype(np.int64)
 
@@ -200,6 +185,58 @@ def may_match(a_n, a_pos, b_n, b_pos, percent: int):
     return (100 * small >= percent * large) & (rest >= least_overlap(small + large, percent))
 
 
+def with_partner(token, n, pos, percent: int) -> np.ndarray:
+    """Which rows may match another row of their list, by size and position; rows come sorted by token and size."""
+    found = np.zeros(len(token), bool)
+    at = np.arange(len(token))
+    for step in range(1, len(token)):
+        at = at[at >= step]
+        # What is too small for a row is so for all larger rows before it.
+        at = at[(token[at] == token[at - step]) & (100 * n[at - step].astype(np.int64) >= percent * n[at].astype(np.int64))]
+        if not len(at):
+            break
+        both = at[may_match(n[at], pos[at], n[at - step], pos[at - step], percent)]
+        found[both] = found[both - step] = True
+    return found
+
+
+def partnered_rows(percent: int):
+    """Rows, sorted by token and size, that may match another row of their list; all rows of lists above ``LONGEST_TRIED`` rows."""
+
+    def kept(rows: pa.Table):
+        token, n, pos = (rows.column(c).to_numpy() for c in ("token", "n", "pos"))
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        lengths = np.diff(np.append(starts, len(token)))
+        long = np.repeat(lengths > LONGEST_TRIED, lengths)
+        short = np.flatnonzero(~long & np.repeat(lengths > 1, lengths))
+        long[short] = with_partner(token[short], n[short], pos[short], percent)
+        yield from rows.filter(pa.array(long)).combine_chunks().to_batches()
+
+    def pairs_in_reach(batches):
+        held, size, passing = [], 0, None  # rows that wait, and the token of a long list whose rows pass as they come
+        for batch in batches:
+            if passing is not None and batch.num_rows:
+                end = int(np.searchsorted(batch.column(0).to_numpy() != passing, True))
+                yield batch.slice(0, end)
+                passing, batch = passing if end == batch.num_rows else None, batch.slice(end)
+            held.append(batch)
+            size += batch.num_rows
+            if size < LIST_ROWS_AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            token = rows.column("token").to_numpy()
+            last = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))  # where the open list starts
+            if len(token) - last > LONGEST_TRIED:
+                last, passing = len(token), token[-1]
+            yield from kept(rows.slice(0, last)) if last else ()
+            held = rows.slice(last).to_batches()
+            size = len(token) - last
+        if size:
+            yield from kept(pa.Table.from_batches(held).combine_chunks())
+
+    return pairs_in_reach
+
+
 def bitmaps_of(column: pa.Array) -> np.ndarray:
     """A row of 64-bit numbers per bitmap."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
@@ -425,6 +462,12 @@ def sketches_differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
 
 
+def sent(rows: DataFrame, id_col: str) -> DataFrame:
+    """The distinct ids of a written table, sent to all executors unless the table has more than ``MOST_SENT`` rows."""
+    ids = rows.select(id_col).distinct()
+    return F.broadcast(ids) if rows.count() <= MOST_SENT else ids
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose whole sets reach the threshold.
 
@@ -451,8 +494,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     second = sets.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("b_n"))
     met = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y", "a_n", "b_n")
     left = written(met.mapInArrow(likely, "a bigint, b bigint"), "likely")
-    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")).join(left.select("a").distinct(), "a", "left_semi")
-    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")).join(left.select("b").distinct(), "b", "left_semi")
+    # Whole sets are filtered where they are read, and do not travel for it.
+    first = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")).join(sent(left, "a"), "a", "left_semi")
+    second = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")).join(sent(left, "b"), "b", "left_semi")
     return left.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint")
 
 
@@ -471,7 +515,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ["rep", "n", "shingles", "sketch"],
             )
 
-    chosen = docs.join(wanted, "id", "left_semi")
+    chosen = docs.join(sent(wanted, "id"), "id", "left_semi")
     return chosen.mapInArrow(build, "rep bigint, n bigint, shingles binary, sketch binary")
 
 
@@ -529,7 +573,7 @@ def similarity_components(
     )
     groups = usable.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"), F.min("prefix").alias("prefix"))
     lists = written(
-        listed(groups).repartition("token").sortWithinPartitions("token").mapInArrow(shared_rows, LISTED), "lists"
+        listed(groups).repartition("token").sortWithinPartitions("token", "n").mapInArrow(partnered_rows(percent), LISTED), "lists"
     )
     gids = usable.groupBy("prefix_key", "n").agg(F.min("id").alias("gid"))
     members = written(reps.join(gids, ["prefix_key", "n"]).select("set_id", "rep", "gid", "n", "bits"), "members")
