@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 256  # rows of a batch that are Python objects at the same time
 MAX_CACHED_WORDS = 600_000  # of a worker; the cache starts anew beyond
-MAX_CACHED_HASHES = 100_000  # the same for hashes, which are quickly made: a small cache is quicker than a large one
 MAX_CACHED_LENGTH = 64
 
 #: The words of a text, unchanged: what lies between ASCII white space.
@@ -64,19 +63,9 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered for the words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= MAX_CACHED_HASHES:
-            self.clear()
-        if len(word) <= MAX_CACHED_LENGTH:
-            self[word] = found
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word; looking words up in a cache takes longer than hashing them."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

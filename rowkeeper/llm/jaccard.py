@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkeeper.llm.common import WordHashes, rows_of, window_hashes
+from rowkeeper.llm.common import rows_of, window_hashes, word_hashes
 from rowkeeper.llm.components import connected
 from rowkeeper.session import written
 
@@ -60,7 +60,7 @@ class Shingler:
     """Sorted hashes of the distinct shingles of a text, A-Z in lower case."""
 
     def __init__(self, width: int):
-        self.width, self.hashes = width, WordHashes()
+        self.width = width
 
     def __call__(self, text: str | None) -> np.ndarray:
         if text is None:
@@ -69,9 +69,9 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         width = min(self.width, len(words))
-        found = window_hashes(self.hashes.of(words), width)
+        found = np.sort(window_hashes(word_hashes(words), width))
         # A short sequence differs from every full shingle.
-        return np.unique(found) if width == self.width else found ^ np.uint64(width)
+        return found[np.append(True, found[1:] != found[:-1])] if width == self.width else found ^ np.uint64(width)
 
 
 class Order:
@@ -326,37 +326,40 @@ def crossing_pairs(percent: int):
     """All pairs of one list in different components that may match; rows come sorted by token and size."""
 
     def pairs(batches):
-        open_token, held, held_bits = None, None, None
+        held, held_bits = None, None  # rows of the list that is still open
         first, second, waiting = [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], axis=1)
-            bitmaps = bitmaps_of(batch.column(5))
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else []
-            for start, end in zip(starts, [*starts[1:], len(rows)]):
-                own, own_bits = rows[start:end], bitmaps[start:end]
-                if own[0, 0] == open_token:
-                    before, before_bits = held, held_bits
-                else:
-                    open_token, before, before_bits = own[0, 0], own[:0], own_bits[:0]
-                every, bits = np.concatenate([before, own]), np.concatenate([before_bits, own_bits])
-                # Rows of one component have nothing to find among each other.
-                apart = (every[:, 4] != every[0, 4]).any()
-                for at in range(len(before), len(every)) if apart else ():
-                    here = every[at]
-                    reach = np.searchsorted(every[:at, 2], -(-percent * here[2] // 100))
-                    others = every[reach:at]
-                    left = partners(here, bits[at], others, bits[reach:at], percent)
-                    if len(left):
-                        first.append(others[left, 1])
-                        second.append(np.full(len(left), here[1]))
-                        waiting += len(left)
-                    if waiting >= PAIRS_AT_ONCE:
-                        yield pair_batch(np.concatenate(first), np.concatenate(second))
-                        first, second, waiting = [], [], 0
-                # Smaller rows than these cannot match what follows in the list.
-                rest = np.searchsorted(every[:, 2], -(-percent * every[-1, 2] // 100))
-                held, held_bits = every[rest:], bits[rest:]
-        if first:
+            bits = bitmaps_of(batch.column(5))
+            before = 0
+            if held is not None and held[0, 0] == rows[0, 0]:
+                rows, bits, before = np.concatenate([held, rows]), np.concatenate([held_bits, bits]), len(held)
+            token, rep, n, pos, component = rows.T.copy()
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            # Rows of one component have nothing to find among each other.
+            mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            at = np.flatnonzero(np.repeat(mixed, np.diff(np.append(starts, len(token)))))
+            at = at[at >= before]
+            for step in range(1, len(token)):
+                at = at[at >= step]
+                at = at[(token[at] == token[at - step]) & (100 * n[at - step] >= percent * n[at])]
+                if not len(at):
+                    break
+                y = at[component[at] != component[at - step]]
+                y = y[may_match(n[y], pos[y], n[y - step], pos[y - step], percent)]
+                y = y[differing(bits[y], bits[y - step]) <= most_different(n[y], n[y - step], percent)]
+                first.append(rep[y - step])
+                second.append(rep[y])
+                waiting += len(y)
+                if waiting >= PAIRS_AT_ONCE:
+                    yield pair_batch(np.concatenate(first), np.concatenate(second))
+                    first, second, waiting = [], [], 0
+            # Smaller rows than these cannot match what follows in the list.
+            rest = starts[-1] + np.searchsorted(n[starts[-1] :], -(-percent * n[-1] // 100))
+            held, held_bits = rows[rest:], bits[rest:]
+        if waiting:
             yield pair_batch(np.concatenate(first), np.concatenate(second))
 
     return pairs

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowkeeper.llm.common import WordHashes, mixed, rows_of, window_hashes, words_of
+from rowkeeper.llm.common import mixed, rows_of, window_hashes, word_hashes, words_of
 from rowkeeper.session import written
 
 WINDOW = 50
@@ -61,11 +61,10 @@ def keyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """The distinct keys of each document, with the number of their segments in it and of the words in these."""
 
     def find(batches):
-        hashes = WordHashes()
         for ids, marks, texts in rows_of(batches, "id", "th", "text"):
             keys, counts, words, rows = [], [], [], []
             for row, text in enumerate(texts):
-                own = window_keys(hashes.of(words_of(text)), window, gram)
+                own = window_keys(word_hashes(words_of(text)), window, gram)
                 starts, ends = runs_of(own)
                 values, at, times = np.unique(own[starts], return_inverse=True, return_counts=True)
                 sizes = np.zeros(len(values), np.int64)
@@ -97,13 +96,12 @@ def segment_cutter(window: int, gram: int):
         )
 
     def cut(batches):
-        hashes = WordHashes()
         for ids, marks, texts, wanted in rows_of(batches, "id", "th", "text", "wanted"):
             rows, size = [], 0
             for doc_id, mark, text, chosen in zip(ids, marks, texts, wanted):
                 if not chosen:
                     continue
-                words = hashes.of(words_of(text))
+                words = word_hashes(words_of(text))
                 own = window_keys(words, window, gram).view(np.int64)
                 starts, ends = runs_of(own)
                 here = np.isin(own[starts], np.array(chosen, np.int64))

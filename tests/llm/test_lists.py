@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from rowkeeper.llm import jaccard
+from rowkeeper.llm.common import word_hashes
 
 
 def rows(seed: int) -> pa.RecordBatch:
@@ -53,3 +55,9 @@ def test_whole_sets_are_filtered_where_they_are_read(spark):
         assert plan.count("Join LeftSemi") == plan.count("rightHint=(strategy=broadcast)") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_are_hashed_without_a_cache():
+    words = [b"a", b"hello", b"x" * 100, "grün".encode()]
+    assert word_hashes(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    assert word_hashes([]).dtype == np.uint64 and len(word_hashes([])) == 0
