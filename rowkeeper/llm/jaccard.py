@@ -644,13 +644,14 @@ def one_of_each_component(
     near copies and stay, and so do rows without an id.
     """
     found = similarity_components(docs, width, percent, id_col, text_col)
-    kept = written(
-        found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.col("doc_id").alias("_kept"), "rows"), "kept",
+    # Ids that do not stay as one row are the few: they travel, and the documents stay where they are.
+    stays = F.sum((F.col("doc_id") == F.col("component_id")).cast("int"))
+    others = written(
+        found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_other")).agg(stays.alias("rows")).filter("rows <> 1"), "others",
     )
-    own = F.col(id_col).cast("bigint") == F.col("_kept")
-    single = docs.join(kept.filter("rows = 1"), own, "left_semi")
+    own = F.col(id_col).cast("bigint") == F.col("_other")
+    single = docs.filter(F.col(id_col).cast("bigint").isNotNull()).join(sent(others, "_other"), own, "left_anti")
     order = Window.partitionBy(F.col("row")[id_col]).orderBy(F.xxhash64(F.col("row")[text_col]))
-    repeated = docs.join(kept.filter("rows > 1"), own, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    repeated = docs.join(sent(others.filter("rows > 1"), "_other"), own, "left_semi").select(F.struct(*docs.columns).alias("row"))
     chosen = repeated.withColumn("at", F.row_number().over(order)).filter("at = 1").select("row.*")
     return single.unionByName(chosen).unionByName(docs.filter(F.col(id_col).isNull()))

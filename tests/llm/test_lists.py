@@ -61,3 +61,15 @@ def test_words_are_hashed_without_a_cache():
     words = [b"a", b"hello", b"x" * 100, "grün".encode()]
     assert word_hashes(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
     assert word_hashes([]).dtype == np.uint64 and len(word_hashes([])) == 0
+
+
+def test_documents_do_not_travel_to_lose_their_copies(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"w{i}" for i in range(60))
+        rows = [(1, text), (2, text + " x"), (3, "alone"), (None, text), (4, None), (5, "p q"), (5, "p q"), (6, "one"), (6, "two three")]
+        found = jaccard.one_of_each_component(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r[0] for r in found.collect()), key=str) == [1, 3, 4, 5, 6, None]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
